@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import lines
+from .decontaminate import contaminated
 from .minhash import near_duplicates
+from .quality import assess
 from .substrings import remove_repeats
 
 
@@ -14,17 +17,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.remove_repeated_units(table(spark, sf_dir, "documents")))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_suffix_array": op4_suffix_array, "op7_minhash": op7_minhash}
+    return {
+        "op1_spaced_seeds": op1_spaced_seeds,
+        "op4_suffix_array": op4_suffix_array,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_line_hashing": op6_line_hashing,
+        "op7_minhash": op7_minhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_hashing": lines.SQL}
