@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines
+from . import lines, sharding
 from .decontaminate import contaminated
 from .minhash import near_duplicates
+from .mixing import mix
 from .quality import assess
 from .substrings import remove_repeats
 
@@ -21,6 +22,18 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+SHARDS = 40
+
+
+def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.drop("text")
+
+
+def op3_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -40,6 +53,8 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seeds": op1_spaced_seeds,
+        "op2_pfair_mix": op2_pfair_mix,
+        "op3_jump_hash": op3_jump_hash,
         "op4_suffix_array": op4_suffix_array,
         "op5_quality_rules": op5_quality_rules,
         "op6_line_hashing": op6_line_hashing,
@@ -48,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_hashing": lines.SQL}
+    return {"op3_jump_hash": sharding.sql(SHARDS), "op6_line_hashing": lines.SQL}
