@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, sharding
+from . import lines, sharding, warc
 from .decontaminate import contaminated
 from .minhash import near_duplicates
 from .mixing import mix
@@ -50,6 +50,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seeds": op1_spaced_seeds,
@@ -59,8 +63,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_line_hashing": op6_line_hashing,
         "op7_minhash": op7_minhash,
+        "op8_zip_warc": op8_zip_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jump_hash": sharding.sql(SHARDS), "op6_line_hashing": lines.SQL}
+    return {"op3_jump_hash": sharding.sql(SHARDS), "op6_line_hashing": lines.SQL, "op8_zip_warc": warc.SQL}
