@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, sharding, warc
+from . import lines, perplexity, sharding, warc
 from .decontaminate import contaminated
 from .minhash import near_duplicates
 from .mixing import mix
@@ -54,6 +54,10 @@ def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.digest(perplexity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seeds": op1_spaced_seeds,
@@ -64,8 +68,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_hashing": op6_line_hashing,
         "op7_minhash": op7_minhash,
         "op8_zip_warc": op8_zip_warc,
+        "op9_cross_entropy": op9_cross_entropy,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jump_hash": sharding.sql(SHARDS), "op6_line_hashing": lines.SQL, "op8_zip_warc": warc.SQL}
+    return {"op3_jump_hash": sharding.sql(SHARDS), "op6_line_hashing": lines.SQL, "op8_zip_warc": warc.SQL, "op9_cross_entropy": perplexity.SQL}
