@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, perplexity, sharding, warc
+from . import licenses, lines, perplexity, sharding, warc
 from .decontaminate import contaminated
 from .minhash import near_duplicates
 from .mixing import mix
@@ -58,6 +58,10 @@ def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.digest(perplexity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seeds": op1_spaced_seeds,
@@ -69,8 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_minhash": op7_minhash,
         "op8_zip_warc": op8_zip_warc,
         "op9_cross_entropy": op9_cross_entropy,
+        "op10_license_scan": op10_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jump_hash": sharding.sql(SHARDS), "op6_line_hashing": lines.SQL, "op8_zip_warc": warc.SQL, "op9_cross_entropy": perplexity.SQL}
+    return {"op3_jump_hash": sharding.sql(SHARDS), "op6_line_hashing": lines.SQL, "op8_zip_warc": warc.SQL, "op9_cross_entropy": perplexity.SQL, "op10_license_scan": licenses.sql()}
