@@ -61,6 +61,17 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def sharded(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with their columns and those of ``shard``; a column of ``docs`` that has such a name gives way."""
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    now, grown = jump(F.col("_digest"), shards)
+    added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    own = {f"c{k}": c for k, c in enumerate(docs.columns) if c not in added}
+    rows = docs.select(*[F.col(c).alias(k) for k, c in own.items()], (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), id_digest(id_col).alias("_digest"))
+    out = numbered(rows.withColumn("shard", now).withColumn("grown_shard", grown), "shard", "_digest", ["size", "text_crc32"], -(-3 * docs.count() // shards), "slot")
+    return out.withColumn("law", F.lit("key")).withColumn("slot", F.col("slot").cast("long")).select(*[F.col(k).alias(c) for k, c in own.items()], *added)
+
+
 def _crc_sql() -> str:
     table = []
     for n in range(256):
