@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Words, mix, text_buffer
+from .kernels import Words, mix, runs, text_buffer
 from .workspace import Workspace
 
 SMOOTHING = 0.1
@@ -49,22 +49,24 @@ _BEGIN, _END = np.uint64(0x51A9C3E7D2B40F6B), np.uint64(0x3C6EF372FE94F82A)
 _PAIR, _CONTEXT = np.uint64(0x9FB21C651E98DF25), np.uint64(0x7F4A7C159E3779B9)
 
 
-def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Feature hashes and documents: each word and end given its context, then each context."""
-    n = np.diff(words.first)
+def features(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature hashes and documents: each word and end given its context, then each context.
+
+    ``hashes`` are the words of documents that have ``n`` words each.
+    """
     real = np.flatnonzero(n > 0)
     # every document with words gets one more place: its begin as a context, its end as a word
-    owner = np.repeat(real, n[real] + 1)
+    owner = np.repeat(real.astype(np.int32), n[real] + 1)
     heads = np.cumsum(n[real] + 1) - (n[real] + 1)
     context = np.empty(len(owner), dtype=np.uint64)
     word = np.empty(len(owner), dtype=np.uint64)
     inner = np.ones(len(owner), dtype=bool)
     inner[heads] = False
-    context[inner] = words.hashes
+    context[inner] = hashes
     context[heads] = _BEGIN
     last = np.zeros(len(owner), dtype=bool)
     last[heads + n[real]] = True
-    word[~last] = words.hashes
+    word[~last] = hashes
     word[last] = _END
     pair = mix(context * _PAIR + word) & ~np.uint64(1)
     single = mix(context ^ _CONTEXT) | np.uint64(1)
@@ -94,18 +96,26 @@ class _Run:
         self.good.append(good.to_numpy(zero_copy_only=False).astype(bool))
         self.keys.append(key)
 
-    def words(self) -> tuple[Words, np.ndarray]:
-        data, offsets = text_buffer(pa.chunked_array(self.texts))
-        return Words(data, offsets, 0, len(offsets) - 1, fold=True), np.concatenate(self.good)
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word hashes, number of words and label of each document; a stretch of text at a time is taken apart."""
+        hashes, n = [], []
+        for text in self.texts:
+            data, offsets = text_buffer(text)
+            for lo, hi in runs(offsets):
+                words = Words(data, offsets, lo, hi, fold=True)
+                hashes.append(words.hashes)
+                n.append(np.diff(words.first))
+        return np.concatenate(hashes), np.concatenate(n), np.concatenate(self.good)
 
 
 _ASKED = pa.schema([("bucket", pa.int64()), ("run", pa.int64()), ("features", pa.binary()), ("background", pa.binary()), ("target", pa.binary())])
 
 
 def _asked(run: int, held: _Run, bits: int) -> pa.RecordBatch:
-    words, good = held.words()
-    found, owner = features(words)
+    hashes, n, good = held.words()
+    found, owner = features(hashes, n)
     names, inverse = np.unique(found, return_inverse=True)
+    del found
     background = np.bincount(inverse, minlength=len(names)).astype(np.uint32)
     target = np.bincount(inverse[good[owner]], minlength=len(names)).astype(np.uint32)
     bucket = (names >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(names), dtype=np.int64)
@@ -178,24 +188,25 @@ _LOSSES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_
 
 
 def _losses(held: _Run, answers: list[tuple[bytes, bytes]], vocabulary: int, ratio: float) -> pa.RecordBatch:
-    words, good = held.words()
+    hashes, n, good = held.words()
     keys = pa.concat_arrays(held.keys)
-    found, owner = features(words)
+    found, owner = features(hashes, n)
     names, inverse = np.unique(found, return_inverse=True)
+    del found
     counts = [np.concatenate([unpack(a[k], np.uint64) for a in answers]).astype(np.float64) if answers else np.zeros(0) for k in (0, 1)]
     if len(counts[0]) != len(names):
         raise ValueError(f"{len(counts[0])} answers for {len(names)} features")
     # how often each document has each of its features
     pair = owner.astype(np.uint64) * np.uint64(max(1, len(names))) + inverse.astype(np.uint64)
     each, own = np.unique(pair, return_counts=True)
+    del pair, inverse, owner
     doc, name = (each // np.uint64(max(1, len(names)))).astype(np.int64), (each % np.uint64(max(1, len(names)))).astype(np.int64)
     context = (names[name] & np.uint64(1)).astype(bool)
     out = []
     for count, scale, mine in ((counts[1], 1.0, own * good[doc]), (counts[0], ratio, own)):
         left = count[name] - mine
         logs = np.log(scale * left + np.where(context, SMOOTHING * vocabulary, SMOOTHING))
-        out.append(np.bincount(doc, weights=own * np.where(context, logs, -logs), minlength=words.n_docs))
-    n = np.diff(words.first)
+        out.append(np.bincount(doc, weights=own * np.where(context, logs, -logs), minlength=len(n)))
     tokens = np.where(n > 0, n + 1, 0)
     empty = tokens == 0
     return pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array(np.where(empty, 0, n), pa.int64()), *(pa.array(x / np.maximum(1, tokens), pa.float64(), mask=empty) for x in out)], schema=_LOSSES)
