@@ -41,9 +41,11 @@ from .kernels import Words, mix, runs, text_buffer
 from .workspace import Workspace
 
 SMOOTHING = 0.1
-RUN_BYTES = 8 << 20
+RUN_BYTES = 6 << 20
 BUCKET_BYTES = 16 << 20
 SENT_LABELS = 1 << 22
+#: width of a feature's hash; the last bit tells contexts from bigrams
+FEATURE_BITS = 56
 
 _BEGIN, _END = np.uint64(0x51A9C3E7D2B40F6B), np.uint64(0x3C6EF372FE94F82A)
 _PAIR, _CONTEXT = np.uint64(0x9FB21C651E98DF25), np.uint64(0x7F4A7C159E3779B9)
@@ -68,8 +70,9 @@ def features(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     last[heads + n[real]] = True
     word[~last] = hashes
     word[last] = _END
-    pair = mix(context * _PAIR + word) & ~np.uint64(1)
-    single = mix(context ^ _CONTEXT) | np.uint64(1)
+    cut = np.uint64(64 - FEATURE_BITS)
+    pair = (mix(context * _PAIR + word) >> cut) & ~np.uint64(1)
+    single = (mix(context ^ _CONTEXT) >> cut) | np.uint64(1)
     return np.concatenate([pair, single]), np.concatenate([owner, owner])
 
 
@@ -118,7 +121,7 @@ def _asked(run: int, held: _Run, bits: int) -> pa.RecordBatch:
     del found
     background = np.bincount(inverse, minlength=len(names)).astype(np.uint32)
     target = np.bincount(inverse[good[owner]], minlength=len(names)).astype(np.uint32)
-    bucket = (names >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(names), dtype=np.int64)
+    bucket = (names >> np.uint64(FEATURE_BITS - bits)).astype(np.int64) if bits else np.zeros(len(names), dtype=np.int64)
     cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(names)]
     spans = list(zip(cuts[:-1], cuts[1:], strict=True))
     steps = [packed(np.diff(names[a:b], prepend=np.uint64(0))) for a, b in spans]
@@ -197,10 +200,15 @@ def _losses(held: _Run, answers: list[tuple[bytes, bytes]], vocabulary: int, rat
     if len(counts[0]) != len(names):
         raise ValueError(f"{len(counts[0])} answers for {len(names)} features")
     # how often each document has each of its features
-    pair = owner.astype(np.uint64) * np.uint64(max(1, len(names))) + inverse.astype(np.uint64)
-    each, own = np.unique(pair, return_counts=True)
-    del pair, inverse, owner
-    doc, name = (each // np.uint64(max(1, len(names)))).astype(np.int64), (each % np.uint64(max(1, len(names)))).astype(np.int64)
+    inverse += owner * np.int64(len(names))
+    del owner
+    inverse.sort()
+    heads = np.flatnonzero(np.diff(inverse, prepend=-1))
+    own = np.diff(heads, append=len(inverse)).astype(np.int32)
+    each = inverse[heads]
+    del inverse, heads
+    doc, name = (each // max(1, len(names))).astype(np.int32), (each % max(1, len(names))).astype(np.int32)
+    del each
     context = (names[name] & np.uint64(1)).astype(bool)
     out = []
     for count, scale, mine in ((counts[1], 1.0, own * good[doc]), (counts[0], ratio, own)):
@@ -258,6 +266,12 @@ def marked(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> D
     return rows.mapInArrow(_marker(rows.sparkSession.sparkContext.broadcast(ids)), "id long, body string, good boolean")
 
 
+def _answered(dealt: DataFrame, bits: int, ws: Workspace) -> DataFrame:
+    asked = dealt.repartition("run").sortWithinPartitions("run").mapInArrow(_asking(bits), "bucket long, run long, features binary, background binary, target binary")
+    answered = asked.repartition("bucket").sortWithinPartitions("bucket", "run").mapInArrow(_answering, "run long, bucket long, background binary, target binary, contexts long, n_background long, n_target long")
+    return ws.put(answered, "answers")
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score: one row for each row of ``docs``."""
     ws = Workspace(docs.sparkSession, "perplexity")
@@ -265,9 +279,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     size = rows.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     n_runs, bits = max(1, math.ceil(size / RUN_BYTES)), max(0, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
     dealt = marked(rows, labels, id_col, label_col).select(F.pmod(F.xxhash64("id", "body"), F.lit(n_runs)).alias("run"), "body", "good", "id")
-    asked = dealt.repartition("run").sortWithinPartitions("run").mapInArrow(_asking(bits), "bucket long, run long, features binary, background binary, target binary")
-    answered = asked.repartition("bucket").sortWithinPartitions("bucket", "run").mapInArrow(_answering, "run long, bucket long, background binary, target binary, contexts long, n_background long, n_target long")
-    answers = ws.put(answered, "answers")
+    answers = _answered(dealt, bits, ws)
     ws.release()
     totals = answers.agg(*(F.sum(c).alias(c) for c in ("contexts", "n_background", "n_target"))).first()
     vocabulary, ratio = max(1, totals["contexts"] or 0), (totals["n_target"] or 0) / max(1, totals["n_background"] or 0)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,10 @@ class Workspace:
 
     def release(self) -> None:
         """Let Spark's cleaner drop the shuffle files of plans that are done."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the JVM learns of dropped Python references in between
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
 
     def _at_exit(self) -> None:
         try:
