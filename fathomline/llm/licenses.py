@@ -5,8 +5,9 @@ compared by their 5-word shingles. Templates of equally many distinct shingles L
 document with windows of L shingles that begin every max(1, L // 4) shingles.
 
 1. A window's signature has ``BANDS`` bands of one minimum each (a shingle's 64-bit hash XOR the
-   band's constant). Minima are taken once for each step between windows and merged, so
-   overlapping windows share the work. A window that agrees with a template in a band retrieves it.
+   band's constant). A window that agrees with a template in a band retrieves it. Equal minima are
+   a shared shingle, so signatures are made for the windows that share one with the class and for
+   no others, which loses nothing.
    The window nearest to a copy with a containment of 0.8 or more holds at least
    0.675 L of the template's shingles, a Jaccard similarity of 0.5 or more, so ``BANDS`` = 20 bands
    miss it with a probability below 1e-6; for L < 5 that window equals the template.
@@ -14,8 +15,8 @@ document with windows of L shingles that begin every max(1, L // 4) shingles.
    template: the best stretch of ceil(1.25 L) shingles counts, and a containment of
    ``PERCENT`` % or more is a match.
 
-A document that shares no shingle with any template can agree with none in any minimum; one pass
-over its hashes finds that out, and nothing else is computed for it. Only matches are shuffled.
+Documents without any shared shingle are passed over after one look at their hashes. Only matches
+are shuffled.
 All of it is DataFrame expressions. The templates are a parameter; they are sent to all tasks, and
 more than ``MAX_TEMPLATE_WORDS`` words in all are refused.
 
@@ -26,7 +27,6 @@ shingle; rows of one id are one document with the best match of any; null ids ar
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +37,13 @@ SHINGLE = 5
 PERCENT = 80
 BANDS = 20
 MAX_TEMPLATE_WORDS = 200_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: odd multiples of 2**64 over the golden ratio, as signed numbers
 _SALTS = [((k * 0x9E3779B97F4A7C15 + 2**63) % 2**64) - 2**63 for k in range(1, BANDS + 1)]
 
 
 def _words(text: F.Column) -> F.Column:
-    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+"), lambda w: w != "")
+    # extraction is many times faster than a split by the opposite class
+    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
 
 
 def _let(value: F.Column, body) -> F.Column:
@@ -53,28 +53,22 @@ def _let(value: F.Column, body) -> F.Column:
 
 def _places(w: F.Column, make) -> F.Column:
     """A value for each place of a shingle; a shorter text has one place."""
-
-    def places(w: F.Column) -> F.Column:
-        n = F.size(w)
-        long = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: make([F.get(w, i + k) for k in range(SHINGLE)]))
-        short = F.array(make([F.get(w, F.lit(k)) for k in range(SHINGLE)]))
-        return F.when(n >= SHINGLE, long).when(n > 0, short)
-
-    return _let(w, places)
+    # the windows that run over the end go, but for that of a short text
+    return _let(w, lambda w: F.slice(F.transform(w, lambda _, i: make(F.slice(w, i + 1, SHINGLE))), F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))))
 
 
 def hashes(w: F.Column) -> F.Column:
-    return _places(w, lambda words: F.xxhash64(*words))
+    return _places(w, lambda part: F.xxhash64(part))
 
 
 def shingles(w: F.Column) -> F.Column:
-    return _places(w, lambda words: F.concat_ws(" ", *words))
+    return _places(w, lambda part: F.array_join(part, " "))
 
 
 def _template_sets(spark, templates: dict[str, str]) -> dict[str, tuple[list[int], list[str]]]:
     """Distinct shingle hashes and shingles of each template, by the same expressions as documents."""
     frame = spark.createDataFrame(sorted(templates.items()), "name string, text string").select("name", _words(F.col("text")).alias("w"))
-    rows = frame.select("name", F.array_distinct(hashes(F.col("w"))).alias("h"), F.array_distinct(shingles(F.col("w"))).alias("s")).where("h is not null").collect()
+    rows = frame.select("name", F.array_distinct(hashes(F.col("w"))).alias("h"), F.array_distinct(shingles(F.col("w"))).alias("s")).where("size(h) > 0").collect()
     return {r["name"]: (list(r["h"]), list(r["s"])) for r in rows}
 
 
@@ -82,29 +76,14 @@ def _minima(found: list[int]) -> list[int]:
     return [min(h ^ c for h in found) for c in _SALTS]
 
 
-def _steps(length: int) -> tuple[int, int]:
-    """Shingles between the windows of a class, and how many such steps a window has."""
+def _windows(h: F.Column, hits: F.Column, length: int) -> F.Column:
+    """The windows of a class that hold a hit, each with its bands' minima; the last ones are shorter."""
     step = max(1, length // 4)
-    return step, -(-length // step)
-
-
-def _cells(h: F.Column, length: int) -> F.Column:
-    """The bands' minima of each step."""
-    step, _ = _steps(length)
+    first = lambda p: F.greatest(F.lit(0), F.ceil((p - length + 1) / step)).cast("int")
+    starts = F.array_distinct(F.flatten(F.transform(hits, lambda x: F.sequence(first(x["at"]), F.floor(x["at"] / step).cast("int")))))
     salts = F.array(*[F.lit(c) for c in _SALTS])
-    return F.transform(F.sequence(F.lit(0), F.size(h) - 1, F.lit(step)), lambda p: F.transform(salts, lambda c: F.array_min(F.transform(F.slice(h, p + 1, step), lambda x: x.bitwiseXOR(c)))))
-
-
-def _windows(cells: F.Column, length: int) -> F.Column:
-    """The bands' minima of each window, merged from its steps; the last windows are shorter."""
-    step, merge = _steps(length)
-
-    def windows(cells: F.Column) -> F.Column:
-        part = lambda q, k: F.coalesce(F.get(cells, q + k), F.get(cells, q)) if k else F.get(cells, q)
-        least = lambda q: reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y)), [part(q, k) for k in range(merge)])
-        return F.transform(F.sequence(F.lit(0), F.size(cells) - 1), lambda q: F.struct((q * step).alias("at"), least(q).alias("low")))
-
-    return _let(cells, windows)
+    minima = lambda part: F.transform(salts, lambda c: F.array_min(F.transform(part, lambda x: x.bitwiseXOR(c))))
+    return F.transform(starts, lambda q: F.struct((q * step).alias("at"), _let(F.slice(h, q * step + 1, length), minima).alias("low")))
 
 
 def _span(length: int) -> int:
@@ -135,19 +114,30 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         return spark.createDataFrame([], schema)
     if sum(len(s) for _, s in sets.values()) > MAX_TEMPLATE_WORDS:
         raise ValueError("the templates have too many words to be sent to every task")
-    known = sorted({h for own, _ in sets.values() for h in own})
+    known = {h for own, _ in sets.values() for h in own}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    near = rows.where(F.exists(hashes(_words(F.col("body"))), lambda x: x.isin(known)))
-    by_length: dict[int, dict[str, list[int]]] = {}
+    near = rows.where(F.exists(hashes(_words(F.col("body"))), lambda x: x.isin(sorted(known))))
+    classes: dict[int, list[str]] = {}
     for name, (own, _) in sets.items():
-        by_length.setdefault(len(own), {})[name] = _minima(own)
+        classes.setdefault(len(own), []).append(name)
+
+    def in_class(h: F.Column, hits: F.Column, length: int, names: list[str]) -> F.Column:
+        """What the windows of one class retrieve; only those that share a shingle with a template can agree in a minimum."""
+        shared = sorted({x for name in names for x in sets[name][0]})
+        windows = _let(F.filter(hits, lambda x: x["h"].isin(shared)), lambda own: _windows(h, own, length))
+        return _let(windows, _agreeing({name: _minima(sets[name][0]) for name in names}, _span(length)))
+
+    def by_class(h: F.Column) -> F.Column:
+        hits = F.filter(F.transform(h, lambda x, i: F.struct(i.alias("at"), x.alias("h"))), lambda x: x["h"].isin(sorted(known)))
+        return _let(hits, lambda hits: F.array_distinct(F.concat(*[in_class(h, hits, n, names) for n, names in sorted(classes.items())])))
+
     def retrieved(w: F.Column) -> F.Column:
         """Each retrieved template once for a place, with the words around it."""
-        by_class = lambda h: F.array_distinct(F.concat(*[_let(_windows(_cells(h, n), n), _agreeing(own, _span(n))) for n, own in sorted(by_length.items())]))
         lo = lambda x: F.greatest(F.lit(0), x["at"] - x["span"])
         return F.transform(_let(hashes(w), by_class), lambda x: F.struct(x["template"].alias("template"), lo(x).alias("lo"), F.slice(w, lo(x) + 1, 3 * x["span"] + SHINGLE - 1).alias("words")))
 
-    hit = near.select("doc_id", F.explode(_let(_words(F.col("body")), retrieved)).alias("c")).select("doc_id", "c.template", "c.lo", "c.words")
+    # an inner explode would have the windows computed again, to filter by their number
+    hit = near.select("doc_id", F.explode_outer(_let(_words(F.col("body")), retrieved)).alias("c")).where("c is not null").select("doc_id", "c.template", "c.lo", "c.words")
     own = spark.createDataFrame([(name, len(s), _span(len(s)), s) for name, (_, s) in sets.items()], "template string, n_template long, span int, own array<string>")
     lo, span = F.col("lo"), F.col("span")
     # places of the template's shingles near the window, then the stretch that has most of them
@@ -166,7 +156,7 @@ def sql(templates: dict[str, str] | None = None) -> str:
     """DuckDB SQL of ``scan``: every stretch of every document, without retrieval."""
     templates = TEMPLATES if templates is None else templates
     values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(templates.items()))
-    words = "list_filter(string_split_regex(translate(coalesce(text, ''), '{}', '{}'), '[^a-z0-9]+'), lambda x: x <> '')".format(_UPPER, _LOWER)
+    words = "list_transform(list_filter(string_split_regex(coalesce(text, ''), '[^A-Za-z0-9]+'), lambda x: x <> ''), lambda x: lower(x))"
     cut = f"CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
     return f"""
 WITH template AS (SELECT name, {words} AS w FROM (VALUES {values}) AS t(name, text)),
