@@ -100,8 +100,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     index = F.coalesce(*[F.when(known(s), k) for k, s in enumerate(names)])
     last = F.array(*[F.lit(n).cast("long") for n in counts.values()])
     share = F.array(*[F.lit(q) for q in quota])
-    keyed = docs.withColumn("_source", index).withColumn("_digest", id_digest(id_col))
-    placed = numbered(keyed, "_source", "_digest", [text_col], max(counts.values()), "source_row")
+    keyed = docs.withColumn("_source", index).withColumn("_digest", id_digest(id_col)).withColumn("_tie", F.xxhash64(text_col))
+    placed = numbered(keyed, "_source", "_digest", ["_tie"], max(counts.values()), "source_row")
     q = F.element_at(share, F.col("_source") + 1)
     placed = placed.withColumn("source_row", F.col("source_row").cast("long")).withColumn("block", F.floor(F.col("source_row") / block)).withColumn("_q", q)
     placed = placed.withColumn("_cycle", F.floor(F.col("block") / F.col("_q"))).join(F.broadcast(plan), (F.col("_source") == F.col("_s")) & (F.col("block") % F.col("_q") == F.col("_i")))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: rows that one window partition should hold
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4096
 
 
 def id_digest(id_col: str) -> F.Column:
