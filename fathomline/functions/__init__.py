@@ -1 +1 @@
-"""The functions of the engine."""
+"""Scalar functions: column builders."""
