@@ -1 +1 @@
-"""The operators of the engine."""
+"""The operators of the engine: recall, scoring, graph, packing, evaluation."""

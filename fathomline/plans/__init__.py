@@ -1 +1,6 @@
-"""The plans of the engine."""
+"""The registered queries of the engine."""
+
+from . import retrieval, scans, summaries  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
