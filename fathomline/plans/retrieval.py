@@ -154,13 +154,13 @@ def _documents(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").alias("uid"), T.document(F.expr(S.DOC_PATH), F.col("source"), F.col("text"), 5000).alias("document"))
 
 
-@query("score_pairs_hash", f"{_PAIRS} SELECT qid, uid, round({S.hash_score('text', 'document')}, 6) AS score FROM k JOIN docs USING (uid) JOIN benchmark ON item_id = qid")
+@query("score_pairs_hash", f"{_PAIRS} SELECT qid, uid, round(round({S.hash_score('text', 'document')}, 9), 6) AS score FROM k JOIN docs USING (uid) JOIN benchmark ON item_id = qid")
 def _(t):
     pairs = recall.top(_lexical(t), 10)
     return scoring.score_pairs(pairs.unionByName(pairs), _queries(t), _documents(t)).select("qid", "uid", F.round("score", 6).alias("score"))
 
 
-@query("score_wave_reuse", f"{_PAIRS} SELECT qid, uid, round({S.hash_score('text', 'document')}, 6) AS score, CASE WHEN rank < 4 THEN 1 ELSE 2 END AS wave FROM k JOIN docs USING (uid) JOIN benchmark ON item_id = qid")
+@query("score_wave_reuse", f"{_PAIRS} SELECT qid, uid, round(round({S.hash_score('text', 'document')}, 9), 6) AS score, CASE WHEN rank < 4 THEN 1 ELSE 2 END AS wave FROM k JOIN docs USING (uid) JOIN benchmark ON item_id = qid")
 def _(t):
     pairs = recall.top(_lexical(t), 10)
     first = scoring.score_pairs(pairs.where("rank < 4"), _queries(t), _documents(t))
