@@ -24,7 +24,7 @@ def _queries(t: Tables) -> DataFrame:
 
 def _lexical(t: Tables) -> DataFrame:
     index = recall.postings(_units(t), F.col("text"))
-    return recall.bm25(index, recall.lengths(_units(t), index), _queries(t))
+    return recall.bm25(index, recall.lengths(_units(t), F.col("text")), _queries(t))
 
 
 def _channels(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +61,7 @@ def _(t):
 
 @query("index_lengths", f"WITH {S.INDEX} SELECT uid, CAST(len AS BIGINT) AS len FROM size")
 def _(t):
-    return recall.lengths(_units(t), recall.postings(_units(t), F.col("text")))
+    return recall.lengths(_units(t), F.col("text"))
 
 
 @query("recall_bm25", f"WITH {S.LEXICAL}, {S.ranked('k', 'lexical', 40)} SELECT qid, uid, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM k")
