@@ -32,7 +32,7 @@ PRESETS = {
     "entity": Policy(items="entity", bundle_share=0.65),
     "batched": Policy(items="bundle", min_gain=0.015),
     "routed": Policy(items="bundle", min_gain=0.005),
-    "evidence": Policy(diminishing=True, min_gain=0.0),
+    "plain_evidence": Policy(diminishing=True, min_gain=0.0),
 }
 
 SCHEMA = "qid long, position int, uid long, cost int, gain double, spent int"
@@ -111,3 +111,123 @@ def pack(candidates: DataFrame, budget: int, preset: str) -> DataFrame:
         return pd.DataFrame([(qid, k, units[i][0], units[i][2], round(gain, 6), spent) for k, (i, gain, spent) in enumerate(chosen)], columns=["qid", "position", "uid", "cost", "gain", "spent"])
 
     return candidates.groupBy("qid").applyInPandas(run, SCHEMA)
+
+
+#: fixed values of the evidence policy: stage size, shares of a stage, limits of helpers and families
+STAGE, CORE_SHARE, NEAR_SHARE = 8000, 0.82, 0.85
+HELPERS, HELPER_COST, HELPERS_COST, HELPER_SYMBOLS, HELPER_SCORE, FAMILY_COST = 3, 1000, 1600, 8, 0.5, 3200
+
+
+@dataclass(frozen=True)
+class Unit:
+    """A candidate; ``worth`` has the intent's value first and then a value for each facet."""
+
+    uid: int
+    symbol: str
+    path: str
+    cost: int
+    role: str
+    intent: float
+    worth: tuple[float, ...]
+    callees: frozenset[int] = frozenset()
+
+
+class Evidence:
+    """Selection in phases: entry points for each facet, what they call, their other parts, tests, then the rest."""
+
+    def __init__(self, units: list[Unit], budget: int, primary: str = "implementation", tests: bool = False):
+        self.units = {u.uid: u for u in units}
+        self.budget, self.primary, self.tests = budget, primary, tests
+        self.columns = max((len(u.worth) for u in units), default=0)
+        self.families: dict[str, list[int]] = {}
+        for u in units:
+            self.families.setdefault(u.symbol, []).append(u.uid)
+        self.covered = [0.0] * self.columns
+        self.paths: dict[str, int] = {}
+        self.symbols: dict[str, int] = {}
+        self.taken: dict[int, str] = {}
+        self.spent = 0
+
+    def helpers(self, u: Unit) -> list[int]:
+        if not u.role == self.primary == "implementation":
+            return []
+        local = [self.units[c] for c in u.callees if c in self.units and self.units[c].path == u.path]
+        if len({x.symbol for x in local}) > HELPER_SYMBOLS:
+            return []
+        fit = [x for x in local if x.uid != u.uid and x.uid not in self.taken and x.role == u.role and x.cost <= HELPER_COST and x.intent >= HELPER_SCORE]
+        out, room = [], HELPERS_COST
+        for x in sorted(fit, key=lambda x: (-x.intent, x.uid))[:HELPERS]:
+            if x.cost <= room:
+                out.append(x.uid)
+                room -= x.cost
+        return out
+
+    def merit(self, u: Unit, column: int | None) -> float:
+        top = u.worth[column] if column is not None else max(w / (1 + c) for w, c in zip(u.worth, self.covered, strict=True))
+        return top / (1 + 0.1 * self.paths.get(u.path, 0) + 0.8 * self.symbols.get(u.symbol, 0))
+
+    def take(self, ids, phase: str, limit: float, column: int | None = None) -> bool:
+        """Take the best unit of ``ids`` that fits, with its helpers if they fit too."""
+        for _, _, u in sorted(((-self.merit(u, column), u.uid, u) for i in ids if i not in self.taken for u in [self.units[i]]), key=lambda x: x[:2]):
+            if self.merit(u, column) <= 0:
+                return False
+            group = [u.uid, *self.helpers(u)]
+            if self.spent + sum(self.units[i].cost for i in group) > limit:
+                group = [u.uid]
+            if self.spent + sum(self.units[i].cost for i in group) > limit:
+                continue
+            for i in group:
+                self.taken[i] = phase
+                self.spent += self.units[i].cost
+            self.covered = [c + w for c, w in zip(self.covered, u.worth, strict=True)]
+            self.paths[u.path] = self.paths.get(u.path, 0) + 1
+            self.symbols[u.symbol] = self.symbols.get(u.symbol, 0) + 1
+            return True
+        return False
+
+    def callees(self) -> list[int]:
+        return sorted({c for i in self.taken for c in self.units[i].callees if c in self.units and self.units[c].role == self.primary})
+
+    def continuations(self) -> list[int]:
+        kept = {self.units[i].symbol for i in self.taken}
+        return [i for s in sorted(kept) for i in self.families[s] if sum(self.units[j].cost for j in self.families[s]) <= FAMILY_COST]
+
+    def run(self) -> list[tuple[int, str]]:
+        """(uid, phase) in the order of choice."""
+        entries = [u.uid for u in self.units.values() if u.role == self.primary]
+        facets = list(range(1, self.columns)) or [0]
+        stage = 0
+        while self.units and stage < self.budget:
+            stage = min(stage + STAGE, self.budget)
+            for q in facets * 3:
+                self.take(entries, "primary", stage * CORE_SHARE, q)
+            for _ in range(2):
+                self.take(self.callees(), "dependency", stage * CORE_SHARE)
+            while self.take(self.continuations(), "continuation", stage * NEAR_SHARE):
+                pass
+            for q in facets:
+                self.take(entries, "primary", stage * NEAR_SHARE, q)
+            if self.tests and self.primary == "implementation":
+                known = [u.uid for u in self.units.values() if u.role == "test"]
+                near = [i for i in known if self.units[i].callees & self.taken.keys()]
+                for q in facets:
+                    self.take(near or known, "support", stage, q)
+            while self.take(self.units, "fill", stage):
+                pass
+        if self.spent > self.budget:
+            raise ValueError("a selection exceeds its budget")
+        return list(self.taken.items())
+
+
+def pack_evidence(candidates: DataFrame, budget: int) -> DataFrame:
+    """Choose per query among (qid, uid, symbol, path, cost, role, intent, worth array<double>, callees array<bigint>, tests)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.drop_duplicates("uid").sort_values("uid")
+        units = [Unit(int(r.uid), r.symbol, r.path, int(r.cost), r.role, float(r.intent), tuple(map(float, r.worth)), frozenset(map(int, r.callees))) for r in rows.itertuples()]
+        chosen = Evidence(units, budget, tests=bool(group.tests.iloc[0])).run()
+        costs = {u.uid: u.cost for u in units}
+        spent = np.cumsum([costs[i] for i, _ in chosen]).tolist()
+        return pd.DataFrame([(int(group.qid.iloc[0]), k, i, phase, costs[i], spent[k]) for k, (i, phase) in enumerate(chosen)], columns=["qid", "position", "uid", "phase", "cost", "spent"])
+
+    return candidates.groupBy("qid").applyInPandas(run, "qid long, position int, uid long, phase string, cost int, spent int")

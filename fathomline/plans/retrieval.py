@@ -283,6 +283,16 @@ for _preset in packing.PRESETS:
         return packing.pack(_candidates(t), 4000, preset)
 
 
+@query("pack_evidence")
+def _(t):
+    rows = _candidates(t).join(t.documents.select(F.col("doc_id").alias("uid"), F.expr(S.DOC_PATH).alias("file")), "uid")
+    # a unit calls those of its module that come shortly after it
+    callees = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.col("uid") + k)
+    worth = F.concat(F.array(F.col("overall")), F.col("facets"))
+    ready = rows.select("qid", "uid", "symbol", "path", "cost", T.source_role(F.col("file"), F.lit("python")).alias("role"), F.col("overall").alias("intent"), worth.alias("worth"), callees.alias("callees"), (F.col("qid") % 2 == 0).alias("tests"))
+    return packing.pack_evidence(ready, 4000)
+
+
 @query("flagship_hybrid_search", f"""
 WITH {S.FUSED}, {S.ranked('pool', 'fused', POOL)}, docs AS (SELECT doc_id AS uid, text, lang, substr(concat_ws(chr(10), {S.DOC_PATH}, source, text), 1, 5000) AS document, {S.tokens('text')} + 2 AS cost FROM documents),
 scored AS (SELECT p.qid, p.uid, d.cost, d.lang, round({S.hash_score('b.text', 'd.document')}, 9) AS score FROM pool p JOIN docs d USING (uid) JOIN benchmark b ON b.item_id = p.qid),

@@ -30,6 +30,35 @@ def test_serial_packer_follows_its_formula():
     assert [rows[i][0] for i, _, _ in packing.select(rows, 300, packing.PRESETS["serial"])] == [1]
 
 
+def _unit(uid, symbol="s", path="p", cost=100, role="implementation", intent=0.9, worth=(0.5, 0.5), callees=()):
+    return packing.Unit(uid, symbol, path, cost, role, intent, worth, frozenset(callees))
+
+
+def test_evidence_takes_helpers_parts_and_related_tests():
+    rows = [_unit(1, "f", callees=[2]), _unit(2, "g", cost=200), _unit(3, "f", worth=(0.1, 0.1)), _unit(4, "t1", "q", role="test", worth=(0.4, 0.4)), _unit(5, "t2", "q", role="test", worth=(0.3, 0.3), callees=[1]), _unit(6, "z", worth=(0.0, 0.0))]
+    chosen = packing.Evidence(rows, 4000, tests=True).run()
+    assert [i for i, _ in chosen] == [1, 2, 3, 5, 4]
+    assert dict(chosen)[5] == "support" and dict(chosen)[4] == "fill"
+    small = packing.Evidence(rows, 130).run()
+    assert small == [(1, "primary")] or small == [(1, "fill")]
+
+
+def test_evidence_spreads_over_facets_and_paths():
+    rows = [_unit(k, f"s{k}", "crowd", 300, worth=(0.5, 0.9 - k / 100, 0.1)) for k in range(1, 8)] + [_unit(20, "other", "side", 300, worth=(0.5, 0.1, 0.8))]
+    chosen = [i for i, _ in packing.Evidence(rows, 1000).run()]
+    assert chosen[:2] == [1, 20]
+    assert sum(u.cost for u in rows if u.uid in chosen) <= 1000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.sampled_from("abc"), st.integers(1, 900), st.sampled_from(["test", "implementation"]), st.floats(0, 1), st.sets(st.integers(0, 30), max_size=4)), unique_by=lambda u: u[0], max_size=20), st.integers(1, 20_000))
+def test_evidence_keeps_the_budget(rows, budget):
+    units_ = [_unit(u, s, s, c, r, w, (w, 1 - w), x) for u, s, c, r, w, x in rows]
+    chosen = packing.Evidence(units_, budget, tests=True).run()
+    cost = {u.uid: u.cost for u in units_}
+    assert len({i for i, _ in chosen}) == len(chosen) and sum(cost[i] for i, _ in chosen) <= budget
+
+
 LINES = st.lists(st.sampled_from(["", "  ", "x", "word " * 20, "y" * 700, "z" * 2500]), max_size=200)
 
 
