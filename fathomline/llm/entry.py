@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import licenses, lines, perplexity, sharding, warc
 from .decontaminate import contaminated
+from .minhash import SQL as NEAR_SQL
 from .minhash import near_duplicates
 from .mixing import mix
 from .quality import assess
@@ -78,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jump_hash": sharding.sql(SHARDS), "op6_line_hashing": lines.SQL, "op8_zip_warc": warc.SQL, "op9_cross_entropy": perplexity.SQL, "op10_license_scan": licenses.sql()}
+    return {"op3_jump_hash": sharding.sql(SHARDS), "op6_line_hashing": lines.SQL, "op7_minhash": NEAR_SQL, "op8_zip_warc": warc.SQL, "op9_cross_entropy": perplexity.SQL, "op10_license_scan": licenses.sql()}
