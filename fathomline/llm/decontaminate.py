@@ -3,10 +3,11 @@
 Words are ``[^\\x20\\x09-\\x0D]+`` in ASCII lower case. Each mask of ``MASKS`` marks the positions
 of an 11-word window that count; the others may differ. The masked windows of the benchmark are
 hashed once and held against those of every document. Around each hit the document and the item
-are compared word for word on the hit's diagonal, and the best stretch there is kept: a word that
-agrees counts 1, one that differs costs 3. A document is contaminated by an item if such a
-stretch has at least ``MIN_MATCH`` agreeing words (all words of a shorter item) and at least
-``MIN_PERCENT`` % of its words agree.
+are compared word for word on the hit's diagonal. A document is contaminated by an item if any
+stretch there has at least ``MIN_MATCH`` agreeing words (all words of a shorter item) and at
+least ``MIN_PERCENT`` % of its words agree. Reported is the stretch of the best score (a word that
+agrees counts 1, one that differs costs 3); where that one falls short, the stretch with the most
+agreeing words among those that meet the percentage.
 
 The benchmark reaches the executors in blocks of at most ``BLOCK_WORDS`` words, whose size is
 counted before anything is sent; each block is held against all documents. Documents are never
@@ -94,13 +95,17 @@ class Index:
             if b <= a:
                 continue
             same = words.hashes[a:b] == self.words[a - shift : b - shift]
-            start, stop = _best_stretch(same)
-            agree, size = int(same[start:stop].sum()), int(self.first[i + 1] - self.first[i])
-            if agree >= min(MIN_MATCH, size) and 100 * agree >= MIN_PERCENT * (stop - start):
-                row = (agree, -(stop - start), -(a + start - int(words.first[d])), -(a - shift + start - int(self.first[i])))
-                if row > best.get((d, i), ()):
-                    best[d, i] = row
-        return [(d, i, -r[2], -r[3], -r[1], r[0]) for (d, i), r in best.items()]
+            need = min(MIN_MATCH, int(self.first[i + 1] - self.first[i]))
+            if same.sum() < need:
+                continue
+            for scored, stretch in ((True, _best_stretch), (False, _widest_stretch)):
+                start, stop = stretch(same)
+                agree = int(same[start:stop].sum())
+                if agree >= need and 100 * agree >= MIN_PERCENT * (stop - start):
+                    row = (scored, agree, -(stop - start), -(a + start - int(words.first[d])), -(a - shift + start - int(self.first[i])))
+                    best[d, i] = max(row, best.get((d, i), row))
+                    break
+        return [(d, i, -r[3], -r[4], -r[2], r[1]) for (d, i), r in best.items()]
 
 
 def _best_stretch(same: np.ndarray) -> tuple[int, int]:
@@ -112,6 +117,18 @@ def _best_stretch(same: np.ndarray) -> tuple[int, int]:
     return start, stop
 
 
+def _widest_stretch(same: np.ndarray) -> tuple[int, int]:
+    """The stretch with the most agreeing words of which ``MIN_PERCENT`` % agree; the shortest, then the first of equals."""
+    total = np.concatenate([[0], np.cumsum(np.where(same, 100 - MIN_PERCENT, -MIN_PERCENT))])
+    agree = np.concatenate([[0], np.cumsum(same)])
+    # for each agreeing word as the last one, the earliest start that meets the percentage
+    stop = np.flatnonzero(same) + 1
+    start = np.searchsorted(-np.minimum.accumulate(total), -total[stop], "left")
+    start = (stop - 1)[agree[start]]
+    k = np.lexsort((start, stop - start, agree[start] - agree[stop]))[0]
+    return int(start[k]), int(stop[k])
+
+
 _HITS = [("item_id", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64()), ("n_match", pa.int64())]
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from fathomline.llm import decontaminate
 from fathomline.llm.decontaminate import contaminated, without_contaminated
 
@@ -85,3 +87,49 @@ def test_empty_tables(spark):
     assert contaminated(*none).collect() == []
     assert run(spark, some, []) == {}
     assert run(spark, [], some) == {}
+
+
+def all_stretches(same, need):
+    """The most agreeing words in any stretch that meets both limits."""
+    best = 0
+    for a in range(len(same)):
+        for b in range(a + 1, len(same) + 1):
+            agree = sum(same[a:b])
+            if agree >= need and 100 * agree >= 80 * (b - a):
+                best = max(best, agree)
+    return best
+
+
+def test_any_stretch_on_the_diagonal_counts(spark):
+    rng = random.Random(11)
+    docs, items, want, lost = [], [], set(), 0
+    for k in range(250):
+        size = rng.choice([14, 16, 18, 20, 25, 30])
+        item = [f"i{k}w{j}" for j in range(size)]
+        same = [True] * size
+        for j in rng.sample(range(size), rng.randrange(0, size // 3)):
+            same[j] = False
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(["before", *(w if s else "other" for w, s in zip(item, same, strict=True)), "after"])))
+        seeded = any(all(same[p + j] for j, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for p in range(size - len(m) + 1))
+        start, stop = decontaminate._best_stretch(np.array(same))
+        if seeded and all_stretches(same, 13):
+            want.add((k, k))
+            lost += not (sum(same[start:stop]) >= 13 and 100 * sum(same[start:stop]) >= 80 * (stop - start))
+    got = run(spark, docs, items)
+    assert set(got) == want
+    assert lost > 20
+    clean = without_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_widest_stretch_against_all():
+    rng = random.Random(12)
+    for _ in range(400):
+        same = [rng.random() < rng.choice([0.6, 0.8, 0.9]) for _ in range(rng.randrange(1, 40))]
+        if not any(same):
+            continue
+        start, stop = decontaminate._widest_stretch(np.array(same))
+        assert same[start] and same[stop - 1]
+        assert sum(same[start:stop]) == all_stretches(same, 1)
+        assert 100 * sum(same[start:stop]) >= 80 * (stop - start)
