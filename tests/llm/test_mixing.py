@@ -4,7 +4,7 @@ from fractions import Fraction
 import pytest
 
 from fathomline.llm import ranking
-from fathomline.llm.mixing import in_mixed_order, mix, schedule, shares
+from fathomline.llm.mixing import MAX_CYCLE, exact_shares, in_mixed_order, mix, schedule, schedule_of_blocks, shares
 
 
 def test_schedule_deviates_by_less_than_a_block():
@@ -74,3 +74,47 @@ def test_edges(spark):
     assert in_mixed_order(empty).collect() == []
     with pytest.raises(ValueError):
         mix(spark.createDataFrame(rows(random.Random(1), 9), SCHEMA), {"a": 1.0})
+
+
+def test_exact_shares():
+    assert exact_shares([1] * 21) == [1] * 21
+    assert exact_shares([0.4, 0.3, 0.2, 0.1]) == [4, 3, 2, 1]
+    assert exact_shares([0.0001, 0.9999]) == [1, 9999]
+    assert exact_shares([Fraction(1, 3), 2]) == [1, 6]
+
+
+def held_to_target(spark, n_sources, weights, n, block):
+    data = [(i, "t", f"s{i % n_sources:02}" if weights is None else ("a", "b", "c")[min(2, i % 40)]) for i in range(n)]
+    got = mix(spark.createDataFrame(data, "doc_id long, text string, source string"), weights, block=block).collect()
+    assert sorted(r.position for r in got) == list(range(n))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    names = sorted({r.source for r in got})
+    exact = {s: Fraction(1, n_sources) if weights is None else Fraction(str(weights[s])) / sum(Fraction(str(w)) for w in weights.values()) for s in names}
+    # by slots: one block each; after any number of them every source is within one block of its true weight
+    slots = sorted({(r.slot, r.source) for r in got if r.on_target})
+    assert [t for t, _ in slots] == list(range(len(slots)))
+    had = dict.fromkeys(names, 0)
+    for t, s in slots:
+        had[s] += 1
+        assert all(abs(had[x] - exact[x] * (t + 1)) < 1 for x in names)
+    return len(slots)
+
+
+def test_equal_weights_hold_over_many_cycles(spark):
+    for n_sources in (3, 7, 21):
+        assert held_to_target(spark, n_sources, None, 6000, 2) > 2900
+
+
+def test_weights_beyond_a_cycle_hold(spark):
+    weights = {"a": 0.0250001, "b": 0.0250003, "c": 0.9499996}
+    assert sum(exact_shares(list(weights.values()))) > MAX_CYCLE
+    assert held_to_target(spark, 3, weights, 6000, 2) > 2900
+
+
+def test_schedule_of_blocks_at_its_ends():
+    quota = [1, 9999, 20000]
+    order, ends = schedule_of_blocks(quota, [3, 2, 7])
+    assert sorted((s, i) for s, i, *_ in order) == [(s, i) for s, n in enumerate([3, 2, 7]) for i in range(n)]
+    assert all(a[2] < b[2] for a, b in zip(order, order[1:], strict=False))
+    assert all(release <= slot < deadline for _, _, slot, release, deadline in order)
+    assert 0 < ends <= 8
