@@ -215,7 +215,7 @@ def _(t):
 
 @query("fn_plan_query")
 def _(t):
-    asked = F.concat(F.lit("When a user returns, how is "), F.substring("text", 1, 30), F.lit(" loaded and where is it saved"))
+    asked = F.concat(F.lit("When a user returns, how is "), F.col("text"), F.lit(" loaded and where is it saved"))
     return t.benchmark.select("item_id", F.posexplode(T.facets(asked)).alias("k", "f")).select("item_id", "k", "f.question", F.array_join("f.terms", " ").alias("terms"))
 
 
