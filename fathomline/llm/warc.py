@@ -7,8 +7,10 @@ payloads of ``MIN_REVISIT`` bytes or more, the one with the smallest id is a res
 others are revisits of it; smaller payloads are all responses. An archive counts only when its task
 ends well: the manifest, written through Spark's commit protocol, names it.
 
-Reading. The manifest's archives are opened by their central (or ZIP64) directory; the index is
-range-read and cut into spans of about ``SPAN_BYTES``, the spans are dealt to tasks, and each is
+Reading. The manifest's archives are opened by their central (or ZIP64) directory; all indexes are
+range-read (24 bytes a record are held for one archive), their lines, with or without a key and a
+time, give the member by its file name, and records that no index names are an error. The records
+are cut into spans of about ``SPAN_BYTES``, the spans are dealt to tasks, and each is
 one range read whose records are unpacked one by one. Nothing is extracted to disk. Lengths and
 digests are verified against the headers, and the number of records against the manifest.
 
@@ -27,9 +29,11 @@ import json
 import uuid
 import zipfile
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -176,30 +180,61 @@ def _range_reader(file) -> zipdir.RangeReader:
     return read
 
 
-def spans(read: zipdir.RangeReader, size: int) -> Iterator[tuple[int, int, int]]:
-    """(start in the archive, length, records) of neighbouring records, as the index has them."""
-    by_name = {m.name: m for m in zipdir.members(read, size)}
-    data, index = by_name[DATA], by_name[INDEX]
-    base, at, rest = zipdir.data_start(read, data), zipdir.data_start(read, index), b""
+def _entry(line: bytes) -> dict:
+    """An index line: JSON alone, or after a key and a time."""
+    return json.loads(line[line.index(b"{") :])
+
+
+def _index_lines(read: zipdir.RangeReader, index: zipdir.Member) -> Iterator[bytes]:
+    at, rest = zipdir.data_start(read, index), b""
     stop = at + index.size
-    start, length, n = 0, 0, 0
-    while at < stop or rest:
+    while at < stop:
         chunk = read(at, min(1 << 20, stop - at))
+        if not chunk:
+            raise zipdir.BadArchive("an index is cut")
         at += len(chunk)
         *lines, rest = (rest + chunk).split(b"\n")
-        if at >= stop and rest:
-            lines, rest = [*lines, rest], b""
-        for line in lines:
-            entry = json.loads(line)
-            if entry["offset"] != start + length or entry["offset"] + entry["length"] > data.size:
-                raise zipdir.BadArchive("the index does not fit its data")
-            if n and length + entry["length"] > SPAN_BYTES:
+        yield from lines
+    yield rest
+
+
+def spans(read: zipdir.RangeReader, size: int) -> Iterator[tuple[int, int, int]]:
+    """(start in the archive, length, records) of neighbouring records of all data members, as the indexes have them.
+
+    Every byte of a data member must belong to one indexed record.
+    """
+    found = [m for m in zipdir.members(read, size) if not m.name.endswith("/")]
+    data = [m for m in found if m.name.startswith("archive/")]
+    indexes = [m for m in found if m.name.startswith("indexes/")]
+    if odd := [m.name for m in data if not m.name.endswith(".warc.gz")] + [m.name for m in indexes if not m.name.endswith(".cdxj")]:
+        raise zipdir.BadArchive(f"members that are not read: {odd[:5]}")
+    number = {m.name: k for k, m in enumerate(data)} | {m.name.removeprefix("archive/"): k for k, m in enumerate(data)}
+    entries = array("q")
+    for index in indexes:
+        for line in _index_lines(read, index):
+            if not line.strip() or line.startswith(b"!"):
+                continue
+            entry = _entry(line)
+            name = entry.get("filename", data[0].name if len(data) == 1 else None)
+            if name not in number:
+                raise zipdir.BadArchive(f"an index names {name}, which is not there")
+            entries.extend((number[name], int(entry["offset"]), int(entry["length"])))
+    table = np.frombuffer(entries, dtype=np.int64).reshape(-1, 3)
+    for k, m in enumerate(data):
+        base, own = zipdir.data_start(read, m), table[table[:, 0] == k]
+        start, length, n = 0, 0, 0
+        for _, offset, more in own[np.argsort(own[:, 1], kind="stable")].tolist():
+            if offset != start + length or more <= 0 or offset + more > m.size:
+                raise zipdir.BadArchive(f"the index does not fit {m.name}")
+            if n and length + more > SPAN_BYTES:
                 yield base + start, length, n
-                start, length, n = entry["offset"], 0, 0
-            length += entry["length"]
+                start, length, n = offset, 0, 0
+            length += more
             n += 1
-    if n:
-        yield base + start, length, n
+        if start + length != m.size:
+            raise zipdir.BadArchive(f"records of {m.name} that no index names")
+        if n:
+            yield base + start, length, n
 
 
 def _locator(root: str):

@@ -100,3 +100,22 @@ def test_spans_cover_the_index(monkeypatch, tmp_path):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_all_members_and_usual_index_lines():
+    raws = {name: [warc.record(k, "u", name.encode() * k, len(name) * k, "d", None) for k in range(1, 6)] for name in ("a.warc.gz", "b.warc.gz")}
+    lines = []
+    for name, parts in raws.items():
+        at = 0
+        for part in map(warc.gzip.compress, parts):
+            lines.append(f'com,h)/{len(lines) * 7 % 10} 20260101000000 {{"offset": "{at}", "length": "{len(part)}", "filename": "{name}"}}')
+            at += len(part)
+    members = [(f"archive/{name}", b"".join(map(warc.gzip.compress, parts))) for name, parts in raws.items()]
+    index = "\n".join(sorted(lines)).encode()
+    raw = _archive([*members, ("indexes/x.cdxj", index)])
+    read = _reader(raw)
+    got = [one for start, length, n in warc.spans(read, len(raw)) for one in warc.unpacked(read(start, length), n)]
+    assert got == [one for parts in raws.values() for one in parts]
+    raw = _archive([*members, ("indexes/x.cdxj", "\n".join(x for x in lines if "a.warc.gz" in x).encode())])
+    with pytest.raises(zipdir.BadArchive):
+        list(warc.spans(_reader(raw), len(raw)))
