@@ -44,7 +44,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digest(lines.remove_repeated_units(table(spark, sf_dir, "documents")))
+    return lines.digest(lines.remove_repeated_passages(table(spark, sf_dir, "documents")))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
