@@ -58,5 +58,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = ws.put(stage(spark, docs, sf_dir), f"stage-{k}")
         if k:
             ws.drop(f"stage-{k - 1}")
-        ws.release()
     return docs
