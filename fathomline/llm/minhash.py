@@ -178,7 +178,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = named.join(reps, digest).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     same_id = ws.put(split.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(split.select(F.col("id").alias("u"), F.col("b").alias("v"))), "same-id")
     families = ws.put(connected_components(ties, ws, "families"), "families").withColumnRenamed("component", "family")
-    ws.release()
 
     members = families.join(named.join(reps.withColumnRenamed("rep", "id"), [*digest, "id"]).groupBy(F.col("id").alias("node")).agg(F.max("n_shingles").alias("n")), "node")
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -192,7 +191,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     links = ws.put(work.mapInArrow(_confirm, "u long, v long"), "links")
     parts = ws.put(connected_components(links.unionByName(same_id), ws, "parts"), "components")
-    ws.release()
     named_rows = signed_rows.join(reps, digest, "left").join(parts, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return named_rows.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -272,7 +272,6 @@ def removable_ranges(rows: DataFrame, ws: Workspace) -> DataFrame:
     """(id, loc, size) of repeats in rows (id, tag, body); loc is ``tag << 40`` plus the byte offset."""
     shared = rows.select("body").mapInArrow(_anchor_names, "m long").groupBy("m").count().where("count > 1").select("m")
     seen = ws.put(rows.mapInArrow(_anchor_rows, _PIECE).join(shared, "m"), "pieces")
-    ws.release()
     classes = ws.put(seen.groupBy("m", "c", "n").agg(F.min(F.struct("id", "loc")).alias("first")), "classes")
     later = seen.join(classes, ["m", "c", "n"]).where((F.col("id") != F.col("first.id")) | (F.col("loc") != F.col("first.loc"))).select("id", "loc", (F.col("n") + LENGTH - 1).cast("long").alias("size"))
     crowd = classes.groupBy("m").count().where("count > 1").select("m", (F.col("count") > BUCKET_CLASSES).alias("hot"))
@@ -283,7 +282,6 @@ def removable_ranges(rows: DataFrame, ws: Workspace) -> DataFrame:
         .agg(F.collect_list(F.struct("m", "pos", "n", "hot")).alias("asked"))
     )
     texts = ws.put(rows.join(asked, ["id", "tag"]).select("id", "tag", "body", "asked").mapInArrow(_piece_texts, "m long, id long, loc long, body binary"), "texts")
-    ws.release()
     tree = texts.where("m is not null").repartition("m").sortWithinPartitions("m").mapInArrow(_scan_buckets, "id long, loc long, size long")
     windows = texts.where("m is null").select("body", "id", "loc")
     earliest = windows.groupBy("body").agg(F.min(F.struct("id", "loc")).alias("first"), F.max(F.struct("id", "loc")).alias("last")).where("first <> last").drop("last")
@@ -298,6 +296,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = removable_ranges(rows, ws)
     located = found.select("id", F.shiftright("loc", _POS_BITS).alias("tag"), F.struct(F.col("loc").bitwiseAND(2**_POS_BITS - 1).alias("at"), "size").alias("r"))
     grouped = ws.put(located.groupBy("id", "tag").agg(F.collect_list("r").alias("ranges")), "ranges")
-    ws.release()
     named = F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id")
     return rows.join(grouped, ["id", "tag"], "left").select(named, "body", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
