@@ -11,7 +11,7 @@ A document is scored without its own counts in either model. Its losses are the
 probabilities of its words and its end; ``score`` is target loss minus background loss, and low
 scores are close to the target.
 
-1. Documents are dealt into *runs* of about ``RUN_BYTES`` by a hash of the row. A run counts its
+1. Documents are dealt into *runs* of about ``RUN_BYTES`` by a hash of the row, one run to a task. A run counts its
    distinct features (bigrams and contexts) and sends them, sorted and packed, to buckets by the
    leading bits of the feature's hash, so a frequent feature is one entry for each run.
 2. A bucket adds up the counts of its features and answers each run in the order it asked; the
@@ -41,8 +41,8 @@ from .kernels import Words, mix, runs, text_buffer
 from .workspace import Workspace
 
 SMOOTHING = 0.1
-RUN_BYTES = 6 << 20
-BUCKET_BYTES = 16 << 20
+RUN_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 SENT_LABELS = 1 << 22
 #: width of a feature's hash; the last bit tells contexts from bigrams
 FEATURE_BITS = 56
@@ -77,13 +77,17 @@ def features(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Byte planes, so that the many zero bytes of small numbers compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    """The number of bytes that the largest value needs, then that many byte planes from the lowest on."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize)[:, :width].T).tobytes()
 
 
 def unpack(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    width = raw[0]
+    planes = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.view(kind).reshape(-1)
 
 
 class _Run:
@@ -124,7 +128,9 @@ def _asked(run: int, held: _Run, bits: int) -> pa.RecordBatch:
     bucket = (names >> np.uint64(FEATURE_BITS - bits)).astype(np.int64) if bits else np.zeros(len(names), dtype=np.int64)
     cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(names)]
     spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-    steps = [packed(np.diff(names[a:b], prepend=np.uint64(0))) for a, b in spans]
+    # steps from the least feature that the bucket can have
+    base = lambda a: np.uint64(int(bucket[a]) << (FEATURE_BITS - bits))
+    steps = [packed(np.diff(names[a:b], prepend=base(a))) for a, b in spans]
     columns = [pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array([run] * len(spans), pa.int64()), pa.array(steps, pa.binary()), *(pa.array([packed(x[a:b]) for a, b in spans], pa.binary()) for x in (background, target))]
     return pa.RecordBatch.from_arrays(columns, schema=_ASKED)
 
@@ -157,6 +163,7 @@ _ANSWERED = pa.schema([("run", pa.int64()), ("bucket", pa.int64()), ("background
 
 
 def _answers(bucket: int, rows: list[tuple[int, bytes, bytes, bytes]]):
+    # features without the bucket's base, which all of them share
     names = [np.cumsum(unpack(r[1], np.uint64), dtype=np.uint64) for r in rows]
     known, inverse = np.unique(np.concatenate(names), return_inverse=True)
     totals = []
@@ -266,9 +273,9 @@ def marked(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> D
     return rows.mapInArrow(_marker(rows.sparkSession.sparkContext.broadcast(ids)), "id long, body string, good boolean")
 
 
-def _answered(dealt: DataFrame, bits: int, ws: Workspace) -> DataFrame:
-    asked = dealt.repartition("run").sortWithinPartitions("run").mapInArrow(_asking(bits), "bucket long, run long, features binary, background binary, target binary")
-    answered = asked.repartition("bucket").sortWithinPartitions("bucket", "run").mapInArrow(_answering, "run long, bucket long, background binary, target binary, contexts long, n_background long, n_target long")
+def _answered(dealt: DataFrame, n_runs: int, bits: int, ws: Workspace) -> DataFrame:
+    asked = dealt.repartitionById(n_runs, "run").mapInArrow(_asking(bits), "bucket long, run long, features binary, background binary, target binary")
+    answered = asked.repartitionById(1 << bits, F.col("bucket").cast("int")).sortWithinPartitions("run").mapInArrow(_answering, "run long, bucket long, background binary, target binary, contexts long, n_background long, n_target long")
     return ws.put(answered, "answers")
 
 
@@ -278,14 +285,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     size = rows.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     n_runs, bits = max(1, math.ceil(size / RUN_BYTES)), max(0, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
-    dealt = marked(rows, labels, id_col, label_col).select(F.pmod(F.xxhash64("id", "body"), F.lit(n_runs)).alias("run"), "body", "good", "id")
-    answers = _answered(dealt, bits, ws)
-    ws.release()
+    dealt = marked(rows, labels, id_col, label_col).select(F.pmod(F.xxhash64("id", "body"), F.lit(n_runs)).cast("int").alias("run"), "body", "good", "id")
+    answers = _answered(dealt, n_runs, bits, ws)
     totals = answers.agg(*(F.sum(c).alias(c) for c in ("contexts", "n_background", "n_target"))).first()
     vocabulary, ratio = max(1, totals["contexts"] or 0), (totals["n_target"] or 0) / max(1, totals["n_background"] or 0)
-    replies = answers.select("run", F.lit(None).cast("string").alias("body"), F.lit(False).alias("good"), F.lit(None).cast("long").alias("id"), "bucket", "background", "target")
+    replies = answers.select(F.col("run").cast("int").alias("run"), F.lit(None).cast("string").alias("body"), F.lit(False).alias("good"), F.lit(None).cast("long").alias("id"), "bucket", "background", "target")
     texts = dealt.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("bucket", "long"), ("background", "binary"), ("target", "binary"))))
-    met = replies.unionByName(texts).repartition("run").sortWithinPartitions("run", F.col("bucket").asc_nulls_last())
+    met = replies.unionByName(texts).repartitionById(n_runs, "run").sortWithinPartitions(F.col("bucket").asc_nulls_last())
     losses = met.mapInArrow(_scoring(vocabulary, ratio), "doc_id long, n_tokens long, target_loss double, background_loss double")
     return losses.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
