@@ -1,6 +1,7 @@
 """WARC records in ZIP-packaged archives, written and read by ranges.
 
-Writing. Each task streams its pages into archives of at most ``ARCHIVE_BYTES``: a stored member
+Writing. Tasks of about ``ARCHIVE_BYTES`` of payload (more and smaller ones where cores would be idle) stream their
+pages into archives of at most ``ARCHIVE_BYTES``: a stored member
 ``archive/data.warc.gz`` with a gzip member for each record, and a stored member
 ``indexes/index.cdxj`` with a line for each record (key, offset, length). Of pages with equal
 payloads of ``MIN_REVISIT`` bytes or more, the one with the smallest id is a response and the
@@ -10,7 +11,7 @@ ends well: the manifest, written through Spark's commit protocol, names it.
 Reading. The manifest's archives are opened by their central (or ZIP64) directory; all indexes are
 range-read (24 bytes a record are held for one archive), their lines, with or without a key and a
 time, give the member by its file name, and records that no index names are an error. The records
-are cut into spans of about ``SPAN_BYTES``, the spans are dealt to tasks, and each is
+are cut into spans of about ``SPAN_BYTES``, the spans are dealt to one task for each ``TASK_BYTES`` of archives, and each is
 one range read whose records are unpacked one by one. Nothing is extracted to disk. Lengths and
 digests are verified against the headers, and the number of records against the manifest.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import math
 import uuid
 import zipfile
 import zlib
@@ -43,7 +45,9 @@ from . import zipdir
 from .workspace import Workspace
 
 MIN_REVISIT = 100
-ARCHIVE_BYTES, SPAN_BYTES = 128 << 20, 4 << 20
+ARCHIVE_BYTES, TASK_BYTES, SPAN_BYTES = 128 << 20, 64 << 20, 4 << 20
+#: archives whose directories one task reads
+TASK_ARCHIVES = 16
 RECORD_DATE = "2024-01-01T00:00:00Z"
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -132,7 +136,12 @@ class _Sink:
         self.stream.flush()
 
 
-_MANIFEST = pa.schema([("path", pa.string()), ("records", pa.int64())])
+_MANIFEST = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
+
+
+def _tasks(spark: SparkSession, size: int, each: int, least: int) -> int:
+    """One task for each ``each`` of the size, more while cores are idle and a task has ``least``."""
+    return max(1, math.ceil(size / each), min(spark.sparkContext.defaultParallelism, math.ceil(size / least)))
 
 
 def _writer(root: str):
@@ -147,17 +156,17 @@ def _writer(root: str):
                     now = _Archive(store, folder)
                 now.add(record_id(page), record(page, url, (html or "").encode(), size, digest, refers))
                 if now.at >= ARCHIVE_BYTES:
-                    done.append(now.close())
+                    done.append((*now.close(), now.at))
                     now = None
         if now is not None:
-            done.append(now.close())
+            done.append((*now.close(), now.at))
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t.type) for k, t in enumerate(_MANIFEST)], schema=_MANIFEST)
 
     return run
 
 
 def write_archives(pages: DataFrame, root: str, ws: Workspace, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write the archives and return their manifest (path, records)."""
+    """Write the archives and return their manifest (path, records, bytes)."""
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("size", F.octet_length(F.coalesce("html", F.lit(""))).cast("long")).withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
     first = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
     # small payloads meet nothing; a key of their own keeps them spread
@@ -166,7 +175,9 @@ def write_archives(pages: DataFrame, root: str, ws: Workspace, id_col: str = "pa
     placed = rows.withColumn("key", key).join(first, "key", "left")
     refers = F.when(~F.col("page").eqNullSafe(F.col("first")), F.col("first"))
     ready = placed.select("page", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "size", "digest", refers.alias("refers"))
-    return ws.put(ready.mapInArrow(_writer(root), "path string, records long"), "manifest")
+    size = pages.agg(F.sum(F.octet_length(html_col).cast("long"))).first()[0] or 0
+    tasks = _tasks(pages.sparkSession, size, ARCHIVE_BYTES, SPAN_BYTES)
+    return ws.put(ready.coalesce(tasks).mapInArrow(_writer(root), "path string, records long, bytes long"), "manifest")
 
 
 _SPANS = pa.schema([("path", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("records", pa.int64())])
@@ -251,15 +262,17 @@ def _locator(root: str):
 
 def unpacked(raw: bytes, records: int) -> Iterator[bytes]:
     """The records of a span, one gzip member each."""
-    n = 0
-    while raw:
-        unzip = zlib.decompressobj(31)
-        out = unzip.decompress(raw)
-        if not unzip.eof:
-            raise zipdir.BadArchive("a record is cut")
-        raw = unzip.unused_data
+    view, at, n = memoryview(raw), 0, 0
+    while at < len(raw):
+        unzip, parts = zlib.decompressobj(31), []
+        while not unzip.eof:
+            if at == len(raw):
+                raise zipdir.BadArchive("a record is cut")
+            chunk = view[at : at + (1 << 14)]
+            parts.append(unzip.decompress(chunk))
+            at += len(chunk) - len(unzip.unused_data)
         n += 1
-        yield out
+        yield b"".join(parts)
     if n != records:
         raise zipdir.BadArchive(f"{n} records where the index has {records}")
 
@@ -291,8 +304,10 @@ def _reader(root: str, with_payload: bool):
 def read_archives(manifest: DataFrame, root: str, with_payload: bool = True) -> DataFrame:
     """The records of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string"
-    located = manifest.select("path").repartition("path").mapInArrow(_locator(root), "path string, start long, length long, records long")
-    return located.repartition("path", "start").mapInArrow(_reader(root, with_payload), schema)
+    spark = manifest.sparkSession
+    there = manifest.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).first()
+    located = manifest.select("path").repartition(_tasks(spark, there["n"], TASK_ARCHIVES, 1)).mapInArrow(_locator(root), "path string, start long, length long, records long")
+    return located.repartition(_tasks(spark, there["bytes"] or 0, TASK_BYTES, SPAN_BYTES)).mapInArrow(_reader(root, with_payload), schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -305,7 +320,6 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     if written != found:
         raise zipdir.BadArchive(f"{found} records of {written} came back")
     ws.drop("archives")
-    ws.release()
     return out
 
 
