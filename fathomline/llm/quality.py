@@ -1,20 +1,27 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejection.
 
 Each rule maps a document to a figure of which large values are bad. Its cutoffs run from mild to
-strict. For each stratum (language) and rule, the mildest cutoff is tested first: among the
-labelled good documents of the stratum, the number rejected is held against an exact binomial
-(Clopper-Pearson) bound, and the next cutoff is tried only while the bound certifies a false
-rejection rate of at most its share of ``RISK``. The order of tests is fixed in advance, so a sequence
-needs no further correction; over strata and rules Bonferroni's correction holds. With confidence
-1 - ``DELTA``, no stratum loses more than ``RISK`` of its good documents to the rules. A stratum
-with too few labels for any certificate has no cutoffs and loses nothing to them.
+strict; a *vector* takes one cutoff (or none) of each rule and rejects what any of them rejects.
+For each stratum (language) the vector is chosen on its labelled good documents: the number that a
+vector rejects is held against an exact binomial (Clopper-Pearson) bound, and only vectors whose
+false rejection rate is certified to be at most ``RISK`` are used. The error ``DELTA`` is halved:
+
+- one half goes to the vectors with the same level for all rules, tested from mild to strict until
+  one fails; that order is fixed in advance, so the sequence needs no further correction;
+- the other half goes to all vectors there are, by Bonferroni's correction; from the strictest
+  certified vector of the sequence single rules are raised in turn, each until it fails.
+
+Over strata Bonferroni's correction holds. With confidence 1 - ``DELTA``, no stratum loses more than
+``RISK`` of its good documents to the rules. A stratum with too few labels for any certificate has
+no cutoffs and loses nothing to them.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Independently of the rules a document fails the base test with
 fewer than 50 words, or if over half of its words lie in 3-word windows found twice or more.
 
 Defined cases: null and empty texts have no words and fail the base test; a null stratum is a
 stratum of its own; labels of one id count as good only if all of them are 1; labels without a
-document and null labels are ignored.
+document and null labels are ignored; rows of one id are rows of the result, but one trial in the
+bound, by the strictest cutoff that any of them reaches; other columns of ``docs`` may have any name.
 """
 
 from __future__ import annotations
@@ -35,14 +42,16 @@ MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: strata whose counts the driver may hold
 MAX_STRATA = 10_000
 
-#: rule: the figure over counts, its share of the risk, and its cutoffs from mild to strict; reached means rejected
+#: rule: the figure over counts, and its cutoffs from mild to strict; reached means rejected
 RULES = {
-    "symbols": ("n_symbols / n_words", 0.4, (1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)),
-    "shouting": ("n_upper / n_letters", 0.15, (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
-    "dup_lines": ("n_dup_lines / n_lines", 0.15, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3)),
-    "repeats": ("n_repeat_words / n_words", 0.15, (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)),
-    "long_words": ("word_chars / n_words", 0.15, (40.0, 30.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0)),
+    "symbols": ("n_symbols / n_words", (1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)),
+    "shouting": ("n_upper / n_letters", (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
+    "dup_lines": ("n_dup_lines / n_lines", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3)),
+    "repeats": ("n_repeat_words / n_words", (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)),
+    "long_words": ("word_chars / n_words", (40.0, 30.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0)),
 }
+#: cutoffs of each rule
+LEVELS = 8
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 
@@ -131,7 +140,7 @@ def base_failed() -> F.Column:
 def _levels() -> dict[str, F.Column]:
     """For each rule, how many of its cutoffs a document reaches."""
     out = {}
-    for name, (figure, _, cutoffs) in RULES.items():
+    for name, (figure, cutoffs) in RULES.items():
         over, under = (F.col(c) for c in figure.split(" / "))
         out[name] = reduce(lambda a, b: a + b, [F.when((under > 0) & (over >= F.lit(c) * under), 1).otherwise(0) for c in cutoffs])
     return out
@@ -159,42 +168,61 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def chosen_levels(counts: list[tuple[object, int, dict[str, list[int]]]], risk: float = RISK, delta: float = DELTA) -> dict[object, dict[str, int]]:
-    """For each stratum and rule the number of cutoffs (from mild) that are certified.
+def chosen_levels(counts: list[tuple[object, dict[tuple[int, ...], int]]], risk: float = RISK, delta: float = DELTA) -> dict[object, dict[str, int]]:
+    """For each stratum and rule the number of cutoffs (from mild) of the certified vector.
 
-    ``counts``: stratum, good labelled documents, and by rule those rejected at each cutoff.
+    ``counts``: stratum, and its good labelled documents by how many cutoffs of each rule they reach.
     """
-    each = delta / max(1, len(counts) * len(RULES))
+    along = delta / 2 / max(1, len(counts))
+    among = along / (LEVELS + 1) ** len(RULES)
     out: dict[object, dict[str, int]] = {}
-    for stratum, good, rejected in counts:
-        out[stratum] = {}
-        for rule, by_cutoff in rejected.items():
-            level = 0
-            while level < len(by_cutoff) and good and upper_bound(by_cutoff[level], good, each) <= risk * RULES[rule][1]:
-                level += 1
-            out[stratum][rule] = level
+    for stratum, found in counts:
+        reached = np.array(list(found), dtype=np.int64).reshape(-1, len(RULES))
+        n = np.array(list(found.values()), dtype=np.int64)
+        good = int(n.sum())
+
+        def certain(vector: list[int], error: float, reached=reached, n=n, good=good) -> bool:
+            rejected = ((reached >= vector) & (np.array(vector) > 0)).any(axis=1)
+            return good > 0 and upper_bound(int(n[rejected].sum()), good, error) <= risk
+
+        level = 0
+        while level < LEVELS and certain([level + 1] * len(RULES), along):
+            level += 1
+        vector, open_rules = [level] * len(RULES), list(range(len(RULES)))
+        while open_rules:
+            for r in list(open_rules):
+                higher = [x + (k == r) for k, x in enumerate(vector)]
+                if higher[r] <= LEVELS and certain(higher, among):
+                    vector = higher
+                else:
+                    open_rules.remove(r)
+        out[stratum] = dict(zip(RULES, vector, strict=True))
     return out
 
 
 def certified(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> dict[object, dict[str, int]]:
-    """Choose the cutoffs on every labelled good document that passes the base test; ``features`` has id, stratum and counts."""
-    good = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("q")).where("id is not null and q is not null").groupBy("id").agg(F.min("q").alias("q")).where("q = 1")
+    """Choose the cutoffs on every labelled good document that passes the base test; ``features`` has id, stratum and counts.
+
+    The driver gets one row for each stratum and vector of reached cutoffs, of which there are at
+    most 9**5 in a stratum whatever the number of documents.
+    """
+    good = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("q")).where("id is not null and q is not null").groupBy("id").agg(F.min("q").alias("q")).where("q = 1").select("id")
     levels = _levels()
-    held = features.where(~base_failed()).select("id", "stratum", *[v.alias(k) for k, v in levels.items()]).join(good, "id")
-    aggs = [F.count_if(F.col(rule) > k).alias(f"{rule}_{k}") for rule, (_, _, cuts) in RULES.items() for k in range(len(cuts))]
+    trials = features.where(~base_failed()).select("id", "stratum", *[v.alias(k) for k, v in levels.items()]).join(good, "id").groupBy("stratum", "id").agg(*[F.max(rule).alias(rule) for rule in RULES])
     # labelled rows without a document of their stratum add no stratum; the corpus does
-    strata = features.groupBy("stratum").count().select("stratum")
-    found = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("good"), *aggs)
-    rows = strata.join(found, strata.stratum.eqNullSafe(found.stratum), "left").select(strata.stratum, *found.columns[1:]).limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
+    strata = features.groupBy("stratum").count().select("stratum").limit(MAX_STRATA + 1).collect()
+    if len(strata) > MAX_STRATA:
         raise ValueError(f"over {MAX_STRATA} strata")
-    return chosen_levels([(r["stratum"], r["good"] or 0, {rule: [r[f"{rule}_{k}"] or 0 for k in range(len(cuts))] for rule, (_, _, cuts) in RULES.items()}) for r in rows])
+    found: dict[object, dict[tuple[int, ...], int]] = {r["stratum"]: {} for r in strata}
+    for r in trials.groupBy("stratum", *RULES).agg(F.count(F.lit(1)).alias("n")).collect():
+        found[r["stratum"]][tuple(r[rule] for rule in RULES)] = r["n"]
+    return chosen_levels(list(found.items()))
 
 
 def rejected_by(levels: dict[object, dict[str, int]]) -> dict[str, F.Column]:
     """For each rule, whether it rejects a row that has stratum and counts."""
     out = {}
-    for rule, (figure, _, cutoffs) in RULES.items():
+    for rule, (figure, cutoffs) in RULES.items():
         over, under = (F.col(c) for c in figure.split(" / "))
         known = {s: cutoffs[x[rule] - 1] for s, x in levels.items() if x[rule]}
         test = F.lit(False)
@@ -209,20 +237,20 @@ def rejected_by(levels: dict[object, dict[str, int]]) -> dict[str, F.Column]:
 
 
 def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, the counts, base_failed, the rules that reject, kept: a row for each row of ``docs``."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, then stratum, the other counts and the rules that reject: a row for each row of ``docs``."""
     ws = Workspace(docs.sparkSession, "quality")
     features = ws.put(counted(docs, text_col, id=id_col, stratum=stratum_col).withColumn("id", F.col("id").cast("long")), "features")
     tests = rejected_by(certified(features, labels, id_col))
     reasons = F.array_compact(F.array(*[F.when(t, F.lit(rule)) for rule, t in tests.items()]))
-    return features.select(F.col("id").alias("doc_id"), "stratum", *COUNTS, base_failed().alias("base_failed"), reasons.alias("rejected_by")).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    judged = features.withColumn("doc_id", F.col("id")).withColumn("base_failed", base_failed()).withColumn("rejected_by", reasons)
+    return judged.select("doc_id", *COUNTS[:5], "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "stratum", *COUNTS[5:], "rejected_by")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps, with their columns; texts are read twice and never shuffled."""
+    """The rows of ``docs`` that ``assess`` keeps, with their columns; texts are counted once, written beside their counts and never shuffled."""
     ws = Workspace(docs.sparkSession, "quality")
-    features = ws.put(counted(docs, text_col, id=id_col, stratum=stratum_col).withColumn("id", F.col("id").cast("long")), "features")
-    tests = rejected_by(certified(features, labels, id_col))
     own = {f"c{k}": c for k, c in enumerate(docs.columns)}
-    rows = counted(docs, text_col, **own, stratum=stratum_col)
+    rows = ws.put(counted(docs, text_col, **own, id=id_col, stratum=stratum_col).withColumn("id", F.col("id").cast("long")), "counted")
+    tests = rejected_by(certified(rows, labels, id_col))
     rejected = reduce(lambda a, b: a | b, tests.values())
     return rows.where(~base_failed() & ~rejected).select(*[F.col(k).alias(c) for k, c in own.items()])

@@ -61,13 +61,66 @@ def test_bound_is_exact():
         assert p == 1.0 if k == n else abs(cdf - delta) < 1e-9
 
 
-def test_sequence_stops_at_the_first_uncertified_cutoff():
-    cuts = {rule: [0] * len(c) for rule, (_, _, c) in quality.RULES.items()}
-    levels = chosen_levels([("en", 100_000, cuts | {"symbols": [0, 0, 5000, 0, 0, 0, 0, 0]}), ("few", 10, cuts), ("none", 0, cuts)])
-    assert levels["en"]["symbols"] == 2 and levels["en"]["repeats"] == 8
+def test_vectors_are_certified_one_by_one():
+    clean, worse = (0,) * 5, (3, 0, 0, 0, 0)
+    levels = chosen_levels([("en", {clean: 95_000, worse: 5_000}), ("some", {clean: 350}), ("few", {clean: 100}), ("none", {})])
+    assert levels["en"] == {"symbols": 0, "shouting": 8, "dup_lines": 8, "repeats": 8, "long_words": 8}
+    assert all(x == 8 for x in levels["some"].values())
     assert not any(levels["few"].values()) and not any(levels["none"].values())
 
 
+def brute_levels(counts):
+    """The same choice written out over single documents, with the bound searched in whole steps of the exact sum."""
+    out = {}
+    for stratum, docs in counts:
+        def sure(vector, error, docs=docs):
+            bad = sum(any(0 < v <= x for v, x in zip(vector, d, strict=True)) for d in docs)
+            n, p = len(docs), quality.RISK
+            return bad < n and sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(bad + 1)) <= error
+
+        along = quality.DELTA / 2 / len(counts)
+        diagonal = 0
+        for level in range(1, 9):
+            if not sure([level] * 5, along):
+                break
+            diagonal = level
+        vector, frozen = [diagonal] * 5, set()
+        while len(frozen) < 5:
+            for r in range(5):
+                if r not in frozen:
+                    higher = vector[:r] + [vector[r] + 1] + vector[r + 1 :]
+                    if vector[r] < 8 and sure(higher, along / 9**5):
+                        vector = higher
+                    else:
+                        frozen.add(r)
+        out[stratum] = dict(zip(quality.RULES, vector, strict=True))
+    return out
+
+
+def test_choice_matches_brute_force():
+    rng = random.Random(4)
+    for _ in range(6):
+        docs = {s: [tuple(rng.choice([0] * 60 + [1, 2, 4, 7]) if rng.random() < 0.03 else 0 for _ in range(5)) for _ in range(n)] for s, n in (("a", 1500), ("b", 400), (None, 90))}
+        got = chosen_levels([(s, dict(collections.Counter(d))) for s, d in docs.items()])
+        assert got == brute_levels(list(docs.items()))
+    assert any(any(x.values()) for x in got.values())
+
+
+def test_rows_of_one_id_are_one_trial(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, "en")] * 400 + [(2, text, "en")], "doc_id long, text string, lang string")
+    assert quality.certified(quality.counted(docs, "text", id="doc_id", stratum="lang"), spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")) == {"en": dict.fromkeys(quality.RULES, 0)}
+
+
+def test_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").selectExpr("*", "7 as n_words", "8 as id", "9 as stratum", "1 as c0", "2 as body", "3 as kept")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert assess(docs, labels).columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert assess(docs, labels).first()["n_words"] == 60
+    assert keep_good(docs, labels).collect() == docs.collect()
+
+
 def test_certified_rules_reject_junk_and_keep_good(spark):
     rng = random.Random(2)
     good = lambda: " ".join(f"{rng.choice('abcdefg')}w{rng.randrange(3000)}" for _ in range(60))
