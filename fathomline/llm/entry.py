@@ -10,7 +10,7 @@ from . import licenses, lines, perplexity, sharding, warc
 from .decontaminate import contaminated
 from .minhash import SQL as NEAR_SQL
 from .minhash import near_duplicates
-from .mixing import mix
+from .mixing import mix, tempered
 from .quality import assess
 from .substrings import remove_repeats
 
@@ -27,8 +27,9 @@ SHARDS = 40
 
 
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.drop("text")
+    """Sources to weights by the square root of their rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs, tempered(docs)).drop("text")
 
 
 def op3_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

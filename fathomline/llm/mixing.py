@@ -17,7 +17,8 @@ where the weights hold exactly.
 
 Defined cases: a null source is a source of its own, named by null; null ids and texts are rows as
 any; equal rows are all placed, in any order among themselves; sources without a weight are an
-error, weights without rows are left out.
+error, weights without rows are left out; an empty table stays empty; a column of the table that
+has the name of an added one gives way to it.
 """
 
 from __future__ import annotations
@@ -127,8 +128,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
         raise ValueError(f"no weight for sources {missing[:5]}")
     added = ["source_row", "block", "release", "deadline", "slot", "position", "on_target"]
     types = ["long", "long", "long", "long", "long", "long", "boolean"]
+    own = {f"c{k}": c for k, c in enumerate(docs.columns) if c not in added}
+    id_col, source_col, text_col = ({c: k for k, c in own.items()}[c] for c in (id_col, source_col, text_col))
+    docs = docs.select(*[F.col(c).alias(k) for k, c in own.items()])
+    back = [F.col(k).alias(c) for k, c in own.items()]
     if not names:
-        return docs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(added, types, strict=True)])
+        return docs.select(*back, *[F.lit(None).cast(t).alias(c) for c, t in zip(added, types, strict=True)])
     quota = exact_shares([1] * len(names) if weights is None else [weights[s] for s in names])
     blocks = [-(-n // block) for n in counts.values()]
     known = F.col(source_col).eqNullSafe
@@ -142,7 +147,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
         placed = _by_cycle(placed, [q * times for q in quota], list(counts.values()), blocks, block)
     else:
         placed = _by_block(placed, quota, list(counts.values()), blocks, block)
-    return placed.select(*docs.columns, *added)
+    return placed.select(*back, *added)
 
 
 def _by_cycle(placed: DataFrame, quota: list[int], counts: list[int], blocks: list[int], block: int) -> DataFrame:
@@ -185,10 +190,22 @@ def _by_block(placed: DataFrame, quota: list[int], counts: list[int], blocks: li
     return met.withColumn("position", F.col("_start") + F.col("source_row") % block).withColumn("on_target", F.col("slot") < ends)
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, **names: str) -> DataFrame:
-    """The rows of ``docs`` with their columns; files read in order hold the mix."""
+def with_position(docs: DataFrame, weights: dict[str | None, float] | None = None, out: str = "position", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` and the place of each row in the mix as ``out``, which must be a new name."""
     inner = {f"c{k}": c for k, c in enumerate(docs.columns)}
-    renamed = docs.select(*[F.col(c).alias(k) for k, c in inner.items()])
     back = {c: k for k, c in inner.items()}
-    mixed = mix(renamed, weights, id_col=back[names.get("id_col", "doc_id")], source_col=back[names.get("source_col", "source")], text_col=back[names.get("text_col", "text")])
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*[F.col(k).alias(c) for k, c in inner.items()])
+    mixed = mix(docs.select(*[F.col(c).alias(k) for k, c in inner.items()]), weights, id_col=back[id_col], source_col=back[source_col], text_col=back[text_col])
+    return mixed.select(*[F.col(k).alias(c) for k, c in inner.items()], F.col("position").alias(out))
+
+
+def in_mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, **names: str) -> DataFrame:
+    """The rows of ``docs`` with their columns; files read in order hold the mix."""
+    mixed = with_position(docs, weights, "_mixed", **names)
+    return mixed.repartitionByRange("_mixed").sortWithinPartitions("_mixed").drop("_mixed")
+
+
+def tempered(docs: DataFrame, power: float = 0.5, source_col: str = "source") -> dict[str | None, float]:
+    """Weights in proportion to a power of each source's rows, in thousandths of the largest: below 1 small sources are seen more than their share."""
+    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy("s").limit(MAX_SOURCES + 1).collect()}
+    most = max(counts.values(), default=1)
+    return {s: max(1, round(1000 * (n / most) ** power)) / 1000 for s, n in counts.items()}

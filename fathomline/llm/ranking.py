@@ -20,15 +20,23 @@ def id_digest(id_col: str) -> F.Column:
 def numbered(rows: DataFrame, group: str, digest: str, ties: list[str], n_rows: int, out: str) -> DataFrame:
     """Add ``out``: 0, 1, 2 ... within each ``group``, ordered by ``digest`` and then ``ties``.
 
-    A group is cut by leading digits of the digest into buckets of about ``BUCKET_ROWS`` rows;
-    each bucket is numbered by itself and moved by the counts of the buckets before it. The counts
-    are one row for each bucket. ``n_rows`` is the number of rows of the largest group.
+    A group is cut by leading digits of the digest into buckets of about ``BUCKET_ROWS`` rows.
+    ``n_rows`` is the number of rows of the largest group.
     """
     digits = max(0, math.ceil(math.log(max(1, n_rows) / BUCKET_ROWS, 16))) if n_rows > BUCKET_ROWS else 0
-    cut = rows.withColumn("_bucket", F.substring(digest, 1, digits))
-    sizes = rows.select(F.col(group).alias("_group"), F.substring(digest, 1, digits).alias("_bucket")).groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    return numbered_in_buckets(rows, group, F.substring(digest, 1, digits), [digest, *ties], out)
+
+
+def numbered_in_buckets(rows: DataFrame, group: str, bucket: F.Column, order: list[str], out: str) -> DataFrame:
+    """Add ``out``: 0, 1, 2 ... within each ``group`` by ``bucket`` and then ``order``.
+
+    Each bucket is numbered by itself and moved by the counts of the buckets before it. The counts
+    are one row for each bucket.
+    """
+    cut = rows.withColumn("_bucket", bucket)
+    sizes = rows.select(F.col(group).alias("_group"), bucket.alias("_bucket")).groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy("_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     starts = sizes.select(F.col("_group"), F.col("_bucket").alias("_at"), F.coalesce(before, F.lit(0)).alias("_start"))
-    own = F.row_number().over(W.partitionBy(group, "_bucket").orderBy(digest, *ties)) - 1
+    own = F.row_number().over(W.partitionBy(group, "_bucket").orderBy(*order)) - 1
     placed = cut.withColumn("_own", own)
     return placed.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_at"))).withColumn(out, F.col("_start") + F.col("_own")).drop("_bucket", "_own", "_group", "_at", "_start")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import id_digest, numbered
+from .ranking import BUCKET_ROWS, id_digest, numbered, numbered_in_buckets
 
 MAX_STEPS = 128
 _FACTOR = 2862933555777941757
@@ -61,14 +61,23 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
-def sharded(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with their columns and those of ``shard``; a column of ``docs`` that has such a name gives way."""
+def sharded(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", position_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with their columns and those of ``shard``; a column of ``docs`` that has such a name gives way.
+
+    With ``position_col``, which numbers all rows 0, 1, 2 ..., the slots of a shard follow it and
+    the column itself goes; else they follow a digest of the id.
+    """
     body = F.coalesce(F.col(text_col), F.lit(""))
     now, grown = jump(F.col("_digest"), shards)
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    own = {f"c{k}": c for k, c in enumerate(docs.columns) if c not in added}
-    rows = docs.select(*[F.col(c).alias(k) for k, c in own.items()], (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), id_digest(id_col).alias("_digest"))
-    out = numbered(rows.withColumn("shard", now).withColumn("grown_shard", grown), "shard", "_digest", ["size", "text_crc32"], -(-3 * docs.count() // shards), "slot")
+    own = {f"c{k}": c for k, c in enumerate(docs.columns) if c not in added and c != position_col}
+    place = [] if position_col is None else [F.col(position_col).cast("long").alias("_position")]
+    rows = docs.select(*[F.col(c).alias(k) for k, c in own.items()], (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), id_digest(id_col).alias("_digest"), *place)
+    rows = rows.withColumn("shard", now).withColumn("grown_shard", grown)
+    if position_col is None:
+        out = numbered(rows, "shard", "_digest", ["size", "text_crc32"], -(-3 * docs.count() // shards), "slot")
+    else:
+        out = numbered_in_buckets(rows, "shard", F.floor(F.col("_position") / (BUCKET_ROWS * shards)), ["_position"], "slot")
     return out.withColumn("law", F.lit("key")).withColumn("slot", F.col("slot").cast("long")).select(*[F.col(k).alias(c) for k, c in own.items()], *added)
 
 

@@ -4,7 +4,7 @@ from fractions import Fraction
 import pytest
 
 from fathomline.llm import ranking
-from fathomline.llm.mixing import MAX_CYCLE, exact_shares, in_mixed_order, mix, schedule, schedule_of_blocks, shares
+from fathomline.llm.mixing import MAX_CYCLE, exact_shares, in_mixed_order, mix, schedule, schedule_of_blocks, shares, tempered, with_position
 
 
 def test_schedule_deviates_by_less_than_a_block():
@@ -118,3 +118,34 @@ def test_schedule_of_blocks_at_its_ends():
     assert all(a[2] < b[2] for a, b in zip(order, order[1:], strict=False))
     assert all(release <= slot < deadline for _, _, slot, release, deadline in order)
     assert 0 < ends <= 8
+
+
+def test_added_columns_win_over_clashing_ones(spark):
+    data = rows(random.Random(7), 60)
+    df = spark.createDataFrame(data, SCHEMA).selectExpr("*", "'mine' as slot", "'mine' as _digest", "1 as block")
+    got = mix(df)
+    assert len(set(got.columns)) == len(got.columns)
+    assert {r["_digest"] for r in got.collect()} == {"mine"}
+    kept = with_position(df, None, "_mixed")
+    assert kept.columns == [*df.columns, "_mixed"]
+    assert sorted(r["_mixed"] for r in kept.collect()) == list(range(60)) and {r.slot for r in kept.collect()} == {"mine"}
+
+
+def test_tempered_weights_hold_by_slots(spark):
+    data = [(i, "t", "big" if i % 10 else f"small{i % 3}") for i in range(4000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    weights = tempered(docs)
+    assert weights["big"] == 1.0 and all(0.15 < w < 0.25 for s, w in weights.items() if s != "big")
+    exact = {s: Fraction(str(w)) / sum(Fraction(str(x)) for x in weights.values()) for s, w in weights.items()}
+    had = dict.fromkeys(weights, 0)
+    slots = sorted({(r.slot, r.source) for r in mix(docs, weights, block=4).where("on_target").collect()})
+    for t, s in slots:
+        had[s] += 1
+        assert all(abs(had[x] - exact[x] * (t + 1)) < 1 for x in had)
+    assert len(slots) > 100
+
+
+def test_plan_has_no_python(spark):
+    docs = spark.createDataFrame(rows(random.Random(1), 50), SCHEMA)
+    plan = in_mixed_order(docs, tempered(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
