@@ -9,17 +9,23 @@ least ``MIN_PERCENT`` % of its words agree. Reported is the stretch of the best
 agrees counts 1, one that differs costs 3); where that one falls short, the stretch with the most
 agreeing words among those that meet the percentage.
 
-The benchmark reaches the executors in blocks of at most ``BLOCK_WORDS`` words, whose size is
-counted before anything is sent; each block is held against all documents. Documents are never
-shuffled, so a hot source or item cannot overload a task.
+The benchmark reaches the executors in blocks of about ``BLOCK_WORDS`` words, whose size is counted
+before anything is sent; each block is held against all documents. With several blocks the hits of
+one are written and its index is destroyed before the next is made, so one block at a time is held.
+Documents are not shuffled, so a hot source or item cannot overload a task; only the removal by
+several blocks ends with one anti-join on a digest of the text.
 
 Defined cases: null and empty texts and items match nothing; items of one id are compared
-separately and reported under that id; items shorter than a mask are looked up whole.
+separately and reported under that id; items shorter than a mask are looked up whole; rows of one
+id are one document with its best overlap; of equal overlaps the one that begins first in the
+document counts; without documents or items nothing is found; no other column is read, whatever
+its name, and the removal keeps all of them.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Words, mix, runs, text_buffer
+from .workspace import Workspace
 
 MASKS = ("11101001011", "11001101101", "10110110011", "11011010101")
 MIN_MATCH, MIN_PERCENT = 13, 80
@@ -147,7 +154,9 @@ def _finder(index):
     return run
 
 
-def _sieve(index, n_columns: int):
+def _sieve(index, n_columns: int, wanted: bool):
+    """Of rows with a text after ``n_columns`` columns, those that are clean or (``wanted`` false) those that are not."""
+
     def run(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(n_columns))
@@ -155,41 +164,53 @@ def _sieve(index, n_columns: int):
             for lo, hi in runs(offsets):
                 for d, *_ in index.value.overlaps(Words(data, offsets, lo, hi, fold=True)):
                     clean[lo + d] = False
-            yield pa.RecordBatch.from_arrays(batch.columns[:n_columns], names=batch.schema.names[:n_columns]).filter(pa.array(clean))
+            yield pa.RecordBatch.from_arrays(batch.columns[:n_columns], names=batch.schema.names[:n_columns]).filter(pa.array(clean == wanted))
 
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
-    """Broadcast indexes that together hold the benchmark."""
+def _by_blocks(benchmark: DataFrame, item_col: str, text_col: str, make) -> list[DataFrame]:
+    """``make`` of the broadcast index of each block; with several, each is written before the next index is made."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("body")).where("body is not null").distinct()
     # a word takes two bytes at least, with the space after it
     total = items.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     n = max(1, math.ceil(total / 2 / BLOCK_WORDS))
+    ws, out = Workspace(spark, "decontaminate"), []
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(n)) == k).orderBy("item", "body").collect()
-        yield spark.sparkContext.broadcast(Index([r["item"] for r in rows], [r["body"] for r in rows]))
+        index = spark.sparkContext.broadcast(Index([r["item"] for r in rows], [r["body"] for r in rows]))
+        if n == 1:
+            return [make(index)]
+        out.append(ws.put(make(index), f"block-{k}"))
+        index.destroy()
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, doc_word, item_word, n_words, n_match: the best overlap of each contaminated document and item."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
     schema = ", ".join(["doc_id long", *(f"{n} long" for n, _ in _HITS)])
-    out = None
-    for index in _blocks(benchmark, item_col, item_text_col):
-        found = rows.mapInArrow(_finder(index), schema)
-        out = found if out is None else out.unionByName(found)
+    found = reduce(DataFrame.unionByName, _by_blocks(benchmark, item_col, item_text_col, lambda index: rows.mapInArrow(_finder(index), schema)))
     best = F.max(F.struct("n_match", (-F.col("n_words")).alias("a"), (-F.col("doc_word")).alias("b"), (-F.col("item_word")).alias("c"))).alias("x")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("x.b")).alias("doc_word"), (-F.col("x.c")).alias("item_word"), (-F.col("x.a")).alias("n_words"), F.col("x.n_match").alias("n_match"))
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("x.b")).alias("doc_word"), (-F.col("x.c")).alias("item_word"), (-F.col("x.a")).alias("n_words"), F.col("x.n_match").alias("n_match"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with their columns."""
-    out = docs
-    for index in _blocks(benchmark, item_col, item_text_col):
-        own = {f"c{k}": c for k, c in enumerate(docs.columns)}
-        rows = out.select(*[F.col(c).alias(k) for k, c in own.items()], F.col(text_col).alias("body"))
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1])
-        out = rows.mapInArrow(_sieve(index, len(own)), schema).select(*[F.col(k).alias(c) for k, c in own.items()])
-    return out
+    own = {f"c{k}": c for k, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(k) for k, c in own.items()], F.col(text_col).alias("body"))
+    names = [F.xxhash64("body").alias("h1"), F.xxhash64("body", F.lit(1)).alias("h2")]
+    whole = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    single = []
+
+    def make(index):
+        single.append(rows.mapInArrow(_sieve(index, len(own), True), whole))
+        return rows.select(*names, "body").mapInArrow(_sieve(index, 2, False), "h1 long, h2 long")
+
+    gone = _by_blocks(benchmark, item_col, item_text_col, make)
+    if len(gone) == 1:
+        kept = single[0]
+    else:
+        kept = rows.withColumns({"h1": names[0], "h2": names[1]}).join(reduce(DataFrame.unionByName, gone).distinct(), ["h1", "h2"], "left_anti")
+    return kept.select(*[F.col(k).alias(c) for k, c in own.items()])

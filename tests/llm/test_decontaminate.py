@@ -71,6 +71,15 @@ def test_a_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
     whole = run(spark, docs, items)
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
     assert run(spark, docs, items) == whole == {(k, k): 20 for k in range(9)}
+    frame = spark.createDataFrame([*docs, (50, "clean text of some words"), (60, None)], "doc_id long, text string").selectExpr("*", "1 as h1", "2 as body")
+    kept = without_contaminated(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [50, 50, 60]
+
+
+def test_other_columns_may_clash(spark):
+    text = " ".join(f"t{j}" for j in range(20))
+    docs = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string").selectExpr("*", "5 as body", "6 as item_id", "7 as n_words")
+    assert [tuple(r) for r in contaminated(docs, spark.createDataFrame([(7, text)], "item_id long, text string")).collect()] == [(1, 7, 0, 0, 20, 20)]
 
 
 def test_filter_keeps_columns_and_clean_rows(spark):
