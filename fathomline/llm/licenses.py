@@ -17,8 +17,8 @@ document with windows of L shingles that begin every max(1, L // 4) shingles.
 
 Documents without any shared shingle are passed over after one look at their hashes. Only matches
 are shuffled.
-All of it is DataFrame expressions. The templates are a parameter; they are sent to all tasks, and
-more than ``MAX_TEMPLATE_WORDS`` words in all are refused.
+All of it is DataFrame expressions. The templates are a parameter; they are sent to all tasks in
+slices of at most ``SLICE_SHINGLES`` shingles (a longer template is a slice by itself), each of which scans all documents.
 
 Defined cases: null and empty texts match nothing; a text or template of fewer than five words is one
 shingle; rows of one id are one document with the best match of any; null ids are one document named by null.
@@ -27,6 +27,7 @@ shingle; rows of one id are one document with the best match of any; null ids ar
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from .license_texts import TEMPLATES
 SHINGLE = 5
 PERCENT = 80
 BANDS = 20
-MAX_TEMPLATE_WORDS = 200_000
+SLICE_SHINGLES = 20_000
 #: odd multiples of 2**64 over the golden ratio, as signed numbers
 _SALTS = [((k * 0x9E3779B97F4A7C15 + 2**63) % 2**64) - 2**63 for k in range(1, BANDS + 1)]
 
@@ -112,8 +113,24 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     schema = "doc_id long, template string, n_shared long, n_template long, first_word long"
     if not sets:
         return spark.createDataFrame([], schema)
-    if sum(len(s) for _, s in sets.values()) > MAX_TEMPLATE_WORDS:
-        raise ValueError("the templates have too many words to be sent to every task")
+    return reduce(DataFrame.unionByName, [_scan_slice(docs, part, id_col, text_col) for part in _slices(sets)])
+
+
+def _slices(sets: dict[str, tuple[list[int], list[str]]]) -> list[dict[str, tuple[list[int], list[str]]]]:
+    """The templates in groups of at most ``SLICE_SHINGLES`` shingles; matches of a template do not depend on the others."""
+    out: list[dict] = [{}]
+    size = 0
+    for name, own in sets.items():
+        if out[-1] and size + len(own[0]) > SLICE_SHINGLES:
+            out.append({})
+            size = 0
+        out[-1][name] = own
+        size += len(own[0])
+    return out
+
+
+def _scan_slice(docs: DataFrame, sets: dict[str, tuple[list[int], list[str]]], id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
     known = {h for own, _ in sets.values() for h in own}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
     near = rows.where(F.exists(hashes(_words(F.col("body"))), lambda x: x.isin(sorted(known))))

@@ -46,6 +46,13 @@ def test_short_and_missing_templates(spark):
     assert found(spark, []) == []
 
 
+def test_slices_of_templates_give_the_same(spark, monkeypatch):
+    rows = [(k, f"before {text} after") for k, text in enumerate(sorted(TEMPLATES.values()))]
+    whole = found(spark, rows)
+    monkeypatch.setattr(licenses, "SLICE_SHINGLES", 150)
+    assert found(spark, rows) == whole and len(whole) >= len(TEMPLATES)
+
+
 def test_query_matches_its_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
