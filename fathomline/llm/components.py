@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-MAX_PASSES = 60
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hang every larger neighbour of a node on the node's smallest neighbour."""
@@ -34,19 +34,17 @@ def connected_components(edges: DataFrame, ws: Workspace, label: str, u: str = "
 
     Self-loops, repeated and reversed edges and edges with a null end are ignored.
     Every pass is a partial aggregate, an equi-join that AQE may split, and a table in the shared
-    folder; only two numbers reach the driver. Raises if ``MAX_PASSES`` do not suffice, so a
-    result is never partial.
+    folder; only two numbers reach the driver. Passes go on until one changes nothing, about the
+    square of the logarithm of the longest path of them, so a result is never partial.
     """
     pairs = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
     current = ws.put(pairs.distinct(), f"{label}-0")
     state = _state(current)
-    for k in range(1, MAX_PASSES + 1):
+    for k in count(1):
         after = ws.put(_small_star(_large_star(current).distinct()).distinct(), f"{label}-{k}")
         now = _state(after)
         ws.drop(f"{label}-{k - 1}")
         current, before, state = after, state, now
         if before == now:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_PASSES} passes")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

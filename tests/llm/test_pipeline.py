@@ -10,6 +10,8 @@ import pytest
 import corpus_pipeline
 from fathomline.llm import quality
 
+from .test_quality import brute_levels
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
 
@@ -60,12 +62,17 @@ def reached(text, rule, cutoff):
 def brute_quality(docs, labels):
     good = {i for i, q in labels.groupby("doc_id").quality.min().items() if q == 1}
     strata = sorted(docs.lang.fillna("?").unique())
+    cuts = {rule: c for rule, (_, c) in quality.RULES.items()}
     counts = []
     for s in strata:
-        held = [t for i, t, lang in zip(docs.doc_id, docs.text, docs.lang.fillna("?"), strict=True) if lang == s and i in good and base_ok(t)]
-        counts.append((s, len(held), {rule: [sum(reached(t, rule, c) for t in held) for c in cuts] for rule, (_, _, cuts) in quality.RULES.items()}))
-    levels = quality.chosen_levels(counts)
-    kept = [base_ok(t) and not any(reached(t, rule, quality.RULES[rule][2][n - 1]) for rule, n in levels[s].items() if n) for t, s in zip(docs.text, docs.lang.fillna("?"), strict=True)]
+        held = {}
+        for i, t, lang in zip(docs.doc_id, docs.text, docs.lang.fillna("?"), strict=True):
+            if lang == s and i in good and base_ok(t):
+                levels = tuple(sum(reached(t, rule, x) for x in c) for rule, c in cuts.items())
+                held[i] = tuple(map(max, held.get(i, levels), levels))
+        counts.append((s, list(held.values())))
+    levels = brute_levels(counts)
+    kept = [base_ok(t) and not any(reached(t, rule, cuts[rule][n - 1]) for rule, n in levels[s].items() if n) for t, s in zip(docs.text, docs.lang.fillna("?"), strict=True)]
     return docs[kept]
 
 
@@ -124,6 +131,29 @@ def brute_clean(docs, bench):
     return docs[[not dirty(t) for t in docs.text]]
 
 
+def brute_mix(docs, block=16):
+    """Each document's place: slot by slot, the released block with the earliest deadline, by exact fractions."""
+    from fractions import Fraction
+    from hashlib import md5
+
+    sources = docs.source.fillna("").tolist()
+    names = sorted(set(sources))
+    most = max(map(sources.count, names))
+    weight = {s: Fraction(max(1, round(1000 * (sources.count(s) / most) ** 0.5)), 1000) for s in names}
+    share = {s: w / sum(weight.values()) for s, w in weight.items()}
+    queue = {s: sorted((i for i, x in zip(docs.doc_id, sources, strict=True) if x == s), key=lambda i: md5(str(i).encode()).hexdigest()) for s in names}
+    done, out, slot = dict.fromkeys(names, 0), {}, 0
+    while len(out) < len(docs):
+        ready = [(-(-(done[s] + 1) // share[s]), k) for k, s in enumerate(names) if done[s] // share[s] <= slot]
+        if ready:
+            s = names[min(ready)[1]]
+            for i in queue[s][done[s] * block : (done[s] + 1) * block]:
+                out[i] = len(out)
+            done[s] += 1
+        slot += 1
+    return out
+
+
 def rows_of(frame):
     return sorted((int(i), t) for i, t in zip(frame.doc_id, frame.text, strict=True))
 
@@ -145,8 +175,11 @@ def test_stages_match_brute_force(spark, folder):
     assert out.columns == [*columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     frame = out.toPandas()
     assert rows_of(frame) == rows_of(clean)
+    mixed = brute_mix(clean)
     for _, part in frame.groupby("shard"):
-        assert sorted(part.slot) == list(range(len(part)))
+        part = part.sort_values("slot")
+        assert list(part.slot) == list(range(len(part)))
+        assert [mixed[i] for i in part.doc_id] == sorted(mixed[i] for i in part.doc_id)
 
 
 def test_empty_documents(spark, tmp_path):
