@@ -1,7 +1,14 @@
 """From raw documents to sharded training rows: five stages, each on what the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and is written as Parquet and read again before the next.
-All but the last return the columns of ``documents``; the last adds the row's shard.
+All but the last return the columns of ``documents``; the last adds the row's shard, whose slots
+follow the mix: a shard read by slot gives its rows in the order of the mix.
+
+Defined cases: null and empty texts fail the base test and go; rows of one id are rows of their own
+until the near-duplicates, where they are one document; of equal texts the smallest id stays; a null
+source is a source; a stratum or an empty table without labels has no rules; an empty table stays
+empty through all stages; extra columns are kept, whatever their names, but for those that the last
+stage adds.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import functions as F
 from fathomline.llm.decontaminate import without_contaminated
 from fathomline.llm.entry import SHARDS, table
 from fathomline.llm.minhash import near_duplicates
-from fathomline.llm.mixing import in_mixed_order
+from fathomline.llm.mixing import in_mixed_order, tempered, with_position
 from fathomline.llm.quality import keep_good
 from fathomline.llm.sharding import sharded
 from fathomline.llm.workspace import Workspace
@@ -35,13 +42,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, in the order of the mix."""
-    return in_mixed_order(docs)
+    """All rows, in the order of the mix: sources to weights by the square root of their rows."""
+    return in_mixed_order(docs, tempered(docs))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with ``size, text_crc32, law, shard, slot, grown_shard``."""
-    return sharded(docs, SHARDS)
+    """All rows with ``size, text_crc32, law, shard, slot, grown_shard``; the mix, which the rows decide, is worked out again for the slots."""
+    return sharded(with_position(docs, tempered(docs), "_mixed"), SHARDS, position_col="_mixed")
 
 
 STAGES = [("quality rules", quality), ("near-duplicates", near_dedup), ("decontamination", decontaminate), ("mixing", mixing), ("sharding", sharding)]
