@@ -19,6 +19,11 @@ ASKS_TEST = r"(?i)^(?:find|show|locate|list)\s+(?:the\s+)?(?:(?:unit|regression)
 ASKS_DOC = r"(?i)^(?:find|show|locate|list)\s+(?:the\s+)?(?:docs?|documentation|readme)\b|^(?:查找|找到|列出|展示).{0,5}文档"
 SCOPES = [(r"(?i)\bpython\b", ["python"]), (r"(?i)\bgolang\b", ["go"]), (r"(?i)\btypescript\b", ["typescript"]), (r"(?i)\bjavascript\b", ["javascript", "typescript"]), (r"(?i)\b(?:frontend|front-end|react)\b|前端", ["javascript", "typescript"]), (r"\bGo\b|\bgo\s+(?:code|service|backend|worker|implementation)\b", ["go"])]
 CLAUSE = r"(?i)[:：;；，]|,\s+(?=how|which|why|where|what)|\s+and\s+(?=how|which|why|where|what|preserve|restore|validate|enforce|handle|load|save|reject|filter|check|merge|retain|stop)"
+QUESTION = r"(?i)[:：;；，]|,\s+(?=how|which|why|where|what)|\s+and\s+(?=how|which|why|where|what)"
+ASKS_DECLARATION = r"(?i)\b(interface|type alias|schema)\b|类型定义|接口类型"
+FACET_CONTEXT = "\nContext for this part of the request: "
+INSTRUCTION = "Instruct: Retrieve source code implementing the requested behavior.\nQuery: "
+SECRETS = [(r"(?i)Bearer\s+[^\s\"\\\\]+", "Bearer [REDACTED]"), (r"sk-[A-Za-z0-9_-]{12,}", "[REDACTED]")]
 CONDITION = r"(?i)^(when|if|after|before|unless|given)\b"
 DECLARATIONS = ["property", "parameter", "type", "interface", "type-alias"]
 NOT_EXECUTABLE = r"^(//|/\*|\*|#|import |from |export type |\})"
@@ -115,9 +120,48 @@ def facets(query: Column) -> Column:
 
 
 def prompts(intent: Column, questions: Column) -> Column:
-    """The queries that are embedded: the intent, and up to four other facets with it as context."""
+    """The queries that are scored: the intent, and up to four other facets with it as context."""
     others = F.slice(F.array_distinct(F.filter(questions, lambda q: q != intent)), 1, 4)
-    return F.concat(F.array(intent), F.transform(others, lambda q: F.concat(q, F.lit("\nContext: "), intent)))
+    return F.concat(F.array(intent), F.transform(others, lambda q: F.concat(q, F.lit(FACET_CONTEXT), intent)))
+
+
+def embedding_prompts(prompts: Column) -> Column:
+    """The texts that are embedded for the queries of ``prompts``."""
+    return F.transform(prompts, lambda q: F.concat(F.lit(INSTRUCTION), q))
+
+
+def literal_facets(query: Column) -> Column:
+    """The older planner: clauses of over seven characters, 2 to 4 of them, or the query itself; conditions stay."""
+    parts = F.filter(F.transform(F.split(query, QUESTION), lambda p: F.trim(p)), lambda p: F.length(p) > 7)
+    return F.get(F.transform(F.array(parts), lambda a: F.when((F.size(a) > 1) & (F.size(a) <= 4), a).otherwise(F.array(query))), F.lit(0))
+
+
+def relative_path(path: Column) -> Column:
+    """The path with forward slashes, without empty and ``.`` parts; null if it is absolute, climbs, or has over 4096 characters."""
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    parts = F.split(slashed, "/")
+    bad = ~F.length(path).between(1, 4096) | F.contains(path, F.lit("\x00")) | slashed.startswith("/") | slashed.rlike("^[A-Za-z]:") | F.array_contains(parts, "..")
+    tidy = F.array_join(F.filter(parts, lambda p: (p != "") & (p != ".")), "/")
+    return F.when(~bad, F.when(tidy == "", ".").otherwise(tidy))
+
+
+def redacted(text: Column, secrets: tuple[str, ...] = ()) -> Column:
+    """The text without the given secrets, bearer tokens and keys."""
+    for secret in filter(None, secrets):
+        text = F.replace(text, F.lit(secret), F.lit("[REDACTED]"))
+    for pattern, shown in SECRETS:
+        text = F.regexp_replace(text, pattern, shown)
+    return text
+
+
+def asks_declaration(intent: Column) -> Column:
+    """Whether a query asks for an interface, a type alias or a schema."""
+    return intent.rlike(ASKS_DECLARATION)
+
+
+def substance_for(intent: Column, role: Column, kind: Column, text: Column) -> Column:
+    """``substance``, but a type or an interface counts in full where the query asks for one."""
+    return F.when(asks_declaration(intent) & kind.isin("type", "interface", "type-alias"), 1.0).otherwise(substance(role, kind, text))
 
 
 def substance(role: Column, kind: Column, text: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 HUB = 24
 
 
@@ -57,16 +59,113 @@ def two_hop(anchors: DataFrame, links: DataFrame, floor: float = 0.05, keep: int
     return reached.groupBy("uid").agg(F.max("score").alias("score"))
 
 
-def owner_closure(units: DataFrame, hops: int = 16) -> DataFrame:
-    """(symbol, root): climb ``owner`` while the ancestor is callable; stops at a cycle and after ``hops``."""
-    up = units.where("callable").select(F.col("symbol").alias("at"), F.col("owner").alias("next"))
-    now = units.select("symbol", F.col("symbol").alias("root"), F.col("owner").alias("next"), F.array("symbol").alias("seen"))
+def owner_closure(units: DataFrame) -> DataFrame:
+    """(symbol, root): climb ``owner`` while the ancestor is callable, to the last one; symbols are distinct.
+
+    Pointers are doubled, so a chain of n owners takes log2(n) joins. Owners that go round in a
+    circle never end that way; only those are climbed step by step, up to the symbol before the first repeated one.
+    """
+    ups = cut(units.join(units.where("callable").select(F.col("symbol").alias("owner"), F.lit(True).alias("there")), "owner", "left").select("symbol", F.when(F.col("there"), F.col("owner")).otherwise(F.col("symbol")).alias("root")))
+    now, rounds = ups, max(1, ups.count()).bit_length() + 1
+    while True:
+        far = now.select(F.col("symbol").alias("root"), F.col("root").alias("far"))
+        after = cut(now.join(far, "root").select("symbol", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+        moved = after.where("moved").count()
+        now, rounds = after.select("symbol", "root"), rounds - 1
+        if not moved:
+            return now
+        if not rounds:
+            break
+    tops = ups.where("symbol = root").select("root")
+    done = now.join(tops, "root", "left_semi").select("symbol", "root")
+    walk = now.join(tops, "root", "left_anti").select("symbol", F.col("symbol").alias("at"), F.array("symbol").alias("seen"))
+    found = None
+    step = ups.select(F.col("symbol").alias("at"), F.col("root").alias("next"))
+    while True:
+        ahead = cut(walk.join(step, "at").withColumn("again", F.array_contains("seen", F.col("next"))))
+        ended = ahead.where("again").select("symbol", F.col("at").alias("root"))
+        found = ended if found is None else found.unionByName(ended)
+        walk = ahead.where("not again").select("symbol", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"))
+        if walk.isEmpty():
+            return done.unionByName(found)
+
+
+def bundles(units: DataFrame, calls: DataFrame, small: int = 256, total: int = 768, hops: int = 2, most_callers: int = 4) -> DataFrame:
+    """(uid, bundle): the units that are given with a unit, in order of their ids.
+
+    ``units`` are (uid, symbol, owner, kind, cost), ``calls`` (src, dst) between uids. Units of one
+    outermost callable are a family; a family of at most ``small`` tokens takes its callers' families
+    along, up to ``hops`` steps away and ``total`` tokens, unless a family has over ``most_callers``
+    callers. A caller's families are at most ``most_callers ** hops``, so each root is settled by itself.
+    """
+    heads = units.groupBy("symbol").agg(F.min_by(F.struct("owner", "kind"), "uid").alias("x")).select("symbol", "x.owner", F.col("x.kind").isin("function", "method").alias("callable"))
+    roots = owner_closure(heads)
+    placed = cut(units.join(roots, "symbol").select("uid", "root", "cost"))
+    family = placed.groupBy("root").agg(F.array_sort(F.collect_list("uid")).alias("uids"), F.sum("cost").alias("cost"))
+    callable_roots = heads.where("callable").select(F.col("symbol").alias("root"))
+    little = cut(family.where(F.col("cost") <= small).join(callable_roots, "root", "left_semi"))
+    lifted = calls.join(placed.select(F.col("uid").alias("src"), F.col("root").alias("caller")), "src").join(placed.select(F.col("uid").alias("dst"), F.col("root").alias("called")), "dst").where("caller <> called").select("caller", "called").distinct()
+    few = lifted.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("called"))).where(F.col("n") <= most_callers).select("caller", "called")
+    first = family.select(F.col("root").alias("caller"), F.get("uids", F.lit(0)).alias("first"))
+    step = cut(few.join(little.select(F.col("root").alias("caller"), "cost"), "caller").join(first, "caller").select("called", F.struct(F.col("first"), F.col("caller").alias("root"), F.col("cost")).alias("c")).groupBy("called").agg(F.array_sort(F.collect_list("c")).alias("callers")))
+    kind = "array<struct<root:string,cost:bigint>>"
+    state = little.select("root", F.array(F.struct("root", F.col("cost").cast("long").alias("cost"))).cast(kind).alias("held"), F.array("root").alias("frontier"))
     for _ in range(hops):
-        parent = up.select(F.col("at").alias("next"), F.col("next").alias("further"))
-        met = now.join(parent.withColumn("there", F.lit(True)), "next", "left")
-        go = F.coalesce(F.col("there"), F.lit(False)) & ~F.array_contains("seen", F.coalesce("next", F.lit("")))
-        now = met.select("symbol", F.when(go, F.col("next")).otherwise(F.col("root")).alias("root"), F.when(go, F.col("further")).alias("next"), F.when(go, F.concat("seen", F.array("next"))).otherwise(F.col("seen")).alias("seen"))
-    return now.select("symbol", "root")
+        ahead = state.select("root", "held", F.posexplode_outer("frontier").alias("k", "called")).join(step, "called", "left")
+        offered = ahead.groupBy("root").agg(F.first("held").alias("held"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("callers", F.array().cast("array<struct<first:bigint,root:string,cost:bigint>>")).alias("callers")))), lambda x: x["callers"])).alias("offer"))
+
+        def take(held, offer):
+            fits = (F.aggregate(held, F.lit(0).cast("long"), lambda s, x: s + x["cost"]) + offer["cost"] <= total) & ~F.exists(held, lambda x: x["root"] == offer["root"])
+            return F.when(fits, F.concat(held, F.array(F.struct(offer["root"].alias("root"), offer["cost"].alias("cost"))).cast(kind))).otherwise(held)
+
+        after = offered.withColumn("all", F.aggregate("offer", F.col("held"), take))
+        state = cut(after.select("root", F.col("all").alias("held"), F.transform(F.slice("all", F.size("held") + 1, F.greatest(F.lit(1), F.size("all"))), lambda x: x["root"]).alias("frontier")))
+    uids = state.select("root", F.explode("held").alias("h")).select("root", F.col("h.root").alias("part")).join(little.select(F.col("root").alias("part"), "uids"), "part")
+    whole = uids.groupBy("root").agg(F.array_sort(F.flatten(F.collect_list("uids"))).alias("bundle"))
+    return placed.join(whole, "root", "left").select("uid", F.coalesce("bundle", F.array("uid")).alias("bundle"))
+
+
+def qualified(names: DataFrame, modules: DataFrame) -> DataFrame:
+    """(name, module, rest) of dotted names by the longest module prefix.
+
+    A prefix is a module of exactly this name or the only module with this dotted suffix; a longer
+    prefix that several modules share leaves the name unresolved.
+    """
+    parts, suffix = F.split("name", r"\."), F.split("module", r"\.")
+    cuts = names.select("name").distinct().select("name", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1))).alias("k")).where(F.size(parts) > F.col("k"))
+    cuts = cuts.select("name", "k", F.array_join(F.slice(parts, 1, F.col("k")), ".").alias("prefix"), F.array_join(F.slice(parts, F.col("k") + 1, F.size(parts)), ".").alias("rest"))
+    tails = modules.select("module").distinct().select("module", F.explode(F.transform(F.sequence(F.lit(1), F.size(suffix)), lambda i: F.array_join(F.slice(suffix, i, F.size(suffix)), "."))).alias("prefix"))
+    known = tails.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("module").alias("only"), F.max(F.col("module") == F.col("prefix")).alias("exact"))
+    met = cuts.join(known, "prefix")
+    best = met.groupBy("name").agg(F.max_by(F.struct("prefix", "rest", "n", "only", "exact"), "k").alias("x"))
+    return best.where("x.exact or x.n = 1").select("name", F.when(F.col("x.exact"), F.col("x.prefix")).otherwise(F.col("x.only")).alias("module"), "x.rest")
+
+
+def family_completion(units: DataFrame, chosen: DataFrame, limit: int = 3200) -> DataFrame:
+    """(family, uid) of the parts that complete the families (family, uid, cost) of the chosen units, where the whole fits."""
+    whole = units.groupBy("family").agg(F.sum("cost").alias("total")).where(F.col("total") <= limit).select("family")
+    asked = units.join(chosen.select("uid"), "uid", "left_semi").select("family").distinct()
+    return units.join(whole.join(asked, "family"), "family", "left_semi").join(chosen.select("uid"), "uid", "left_anti").select("family", "uid")
+
+
+def corroboration(calls: DataFrame, scores: DataFrame, most: int = 8) -> DataFrame:
+    """(uid, support): the best score of a caller (uid, score) over the root of its number of callees (src, dst), for callers of at most ``most``."""
+    fan = calls.select("src", "dst").distinct().withColumn("n", F.count(F.lit(1)).over(W.partitionBy("src"))).where(F.col("n") <= most)
+    met = fan.join(scores.select(F.col("uid").alias("src"), "score"), "src")
+    return met.groupBy(F.col("dst").alias("uid")).agg(F.max(F.col("score") / F.sqrt("n")).alias("support"))
+
+
+#: what each kind of relation lends an entity link, forwards and backwards
+LINK_WEIGHTS = {"calls": 0.85, "member_of": 0.7, "references_type": 0.6, "imports": 0.4}
+
+
+def entity_links(relations: DataFrame, owners: DataFrame, weights: dict[str, float] = LINK_WEIGHTS) -> DataFrame:
+    """(src, dst, weight, n) between entities: relations (src, dst, kind, confidence) of units lifted to owners (uid, entity), both ways, the best of each pair."""
+    known = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    one = relations.select("src", "dst", (F.col("confidence") * F.coalesce(F.try_element_at(known, "kind"), F.lit(0.0))).alias("w")).where("w > 0")
+    lifted = one.join(owners.select(F.col("uid").alias("src"), F.col("entity").alias("a")), "src").join(owners.select(F.col("uid").alias("dst"), F.col("entity").alias("b")), "dst").where("a <> b")
+    both = lifted.select("a", "b", "w").unionByName(lifted.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    return both.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.max("w").alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
 def resolve(names: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """The registered queries of the engine."""
 
-from . import retrieval, scans, summaries  # noqa: F401
+from . import code, retrieval, scans, summaries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -6,7 +6,7 @@ from __future__ import annotations
 DOC_PATH = "concat(CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN 'tests/test_' WHEN 1 THEN 'node_modules/m' WHEN 2 THEN 'docs/d' WHEN 3 THEN 'src/build/b' ELSE 'src/app/a' END, CAST(doc_id AS STRING), CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.go' WHEN 3 THEN '.min.js' ELSE '.MD' END)"
 PAGE_PATH = DOC_PATH.replace("doc_id", "page_id")
 ODD_PATH = "concat(CASE CAST(page_id % 6 AS INT) WHEN 0 THEN '.env' WHEN 1 THEN '.env.example' WHEN 2 THEN 'a/.env.local' WHEN 3 THEN 'go.sum' WHEN 4 THEN concat('lib/x', CAST(page_id AS STRING), '.KEY') ELSE concat('lib/y', CAST(page_id AS STRING), '.rs') END)"
-CONVERSATION_QUERY = "concat(CASE CAST(turn % 6 AS INT) WHEN 0 THEN 'Find the unit tests for ' WHEN 1 THEN 'show documentation of the Go service, ' WHEN 2 THEN 'Where is the react frontend ' WHEN 3 THEN 'list python and golang code: ' WHEN 4 THEN 'javascript how ' ELSE 'go to ' END, substr(text, 1, 40))"
+CONVERSATION_QUERY = "concat(CASE CAST(turn % 6 AS INT) WHEN 0 THEN 'Find the unit tests for ' WHEN 1 THEN 'show documentation of the Go service, ' WHEN 2 THEN 'Where is the react frontend ' WHEN 3 THEN 'list python and golang code: ' WHEN 4 THEN 'javascript how ' ELSE 'go to ' END, text)"
 DOC_KIND = "CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'function' WHEN 1 THEN 'interface' WHEN 2 THEN 'method' ELSE 'module' END"
 
 BLANK = r"[ \t\n\r\f\x0B]"

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..index import search
 from ..operators import graph, packing, recall, scoring
 from . import fragments as S
 from .registry import Tables, query
@@ -121,30 +122,37 @@ def _(t):
 
 
 def _nearest_all(t: Tables) -> DataFrame:
-    """All scores of the stated queries (every hundredth vector), a query block against all rows."""
-    q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("a"))
-    d = t.embeddings.select(F.col("vec_id").alias("uid"), "label", F.col("embedding").alias("b"))
-    return d.crossJoin(F.broadcast(q)).select("qid", "uid", "label", F.round(T.cosine(F.col("a"), F.col("b")), 9).alias("score"))
+    """All scores of the stated queries (every hundredth vector) against all rows, block of queries by block of queries."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("uid"), F.col("embedding").alias("vec"))
+    found = recall.dense_all(vectors, vectors.where("uid % 100 = 0").withColumnRenamed("uid", "qid"))
+    return found.join(t.embeddings.select(F.col("vec_id").alias("uid"), "label"), "uid")
 
 
-@query("recall_seeds", f"WITH {S.NEAREST} SELECT qid, uid, CAST(rank AS INT) AS rank FROM (SELECT qid, uid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uid) - 1 AS rank FROM near WHERE score > 0) WHERE rank < 3")
+@query("recall_seeds", f"""
+WITH {S.NEAREST}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uid) - 1 AS rank FROM near WHERE score > 0),
+p AS (SELECT qid, uid, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS rank FROM r WHERE label = 1),
+o AS (SELECT qid, uid, min({{'lane': lane, 'rank': rank}}) AS x FROM (SELECT qid, uid, 0 AS lane, rank FROM r WHERE rank < 8 UNION ALL SELECT qid, uid, 1, rank FROM p WHERE rank < 6) GROUP BY qid, uid)
+SELECT qid, uid, CAST(x.lane AS INT) AS lane, CAST(x.rank AS INT) AS rank FROM o""")
 def _(t):
-    return _nearest(t, 3).select("qid", "uid", "rank")
+    """The eight best units, then the six best of the asked role (label 1)."""
+    ranked = _nearest_all(t).select("qid", "uid", "label", "score")
+    return recall.seeds(ranked, F.col("label") == 1)
 
 
 @query("recall_retain", f"""
 {_SEEDS}, {_LINKS}, ranked AS (SELECT uid, score, row_number() OVER (ORDER BY score DESC, uid) - 1 AS rank FROM parts), core AS (SELECT * FROM ranked WHERE rank < 64),
 new AS (SELECT l.src, l.dst, c.score * l.weight / count(*) OVER (PARTITION BY l.src) AS s FROM links l JOIN core c ON c.uid = l.src WHERE l.dst NOT IN (SELECT uid FROM core)),
 support AS (SELECT dst AS uid, round(max(s), 9) AS support FROM new GROUP BY dst),
-novel AS (SELECT uid, row_number() OVER (ORDER BY support DESC, uid) - 1 AS rank FROM support QUALIFY rank < 16),
+novel AS (SELECT uid, row_number() OVER (ORDER BY support DESC, {S.UNIT_SCORE.format(x='(uid - 10000000)')} DESC, uid) - 1 AS rank FROM support QUALIFY rank < 16),
 lanes AS (SELECT uid, min({{'lane': lane, 'rank': rank}}) AS x FROM (SELECT uid, 0 AS lane, rank FROM core UNION ALL SELECT uid, 1, rank FROM novel UNION ALL SELECT uid, 2, rank FROM ranked) GROUP BY uid)
 SELECT uid, CAST(x.lane AS INT) AS lane, CAST(row_number() OVER (ORDER BY x, uid) - 1 AS INT) AS place FROM lanes QUALIFY place < 80""")
 def _(t):
-    parts = _scored(t.part, "p_partkey").withColumn("qid", F.lit(0))
+    # of a ranking no more than the limit can be kept, so nothing else is sorted
+    parts = _scored(t.part, "p_partkey").orderBy(F.desc("score"), "uid").limit(80).withColumn("qid", F.lit(0))
     core = parts.orderBy(F.desc("score"), "uid").limit(64)
     new = graph.support(core, graph.undirected(_edges(t))).withColumn("qid", F.lit(0))
-    none = parts.where("false").select("qid", "uid", "score")
-    return recall.retain(parts, new, none).select("uid", "lane", "place")
+    fused = new.select("qid", "uid", F.expr(S.UNIT_SCORE.format(x="(uid - 10000000)")).alias("score"))
+    return recall.retain(parts, new, fused).select("uid", "lane", "place")
 
 
 _PAIRS = f"WITH {S.LEXICAL}, {S.ranked('k', 'lexical', 10)}, docs AS (SELECT doc_id AS uid, substr(concat_ws(chr(10), {S.DOC_PATH}, source, text), 1, 5000) AS document FROM documents)"
@@ -220,25 +228,27 @@ def _(t):
 WITH u AS (SELECT conv_id, turn, octet_length(encode(text)) AS cost, sum(octet_length(encode(text))) OVER (PARTITION BY conv_id) AS total FROM conversations)
 SELECT conv_id, turn FROM u WHERE total <= 3200 AND turn > 0 AND conv_id IN (SELECT conv_id FROM u WHERE turn = 0)""")
 def _(t):
-    units = t.conversations.select("conv_id", "turn", F.octet_length("text").alias("cost")).withColumn("total", F.sum("cost").over(W.partitionBy("conv_id")))
-    chosen = t.conversations.where("turn = 0").select("conv_id", "turn")
-    family = units.where("total <= 3200").join(chosen.select("conv_id"), "conv_id", "left_semi")
-    return family.join(chosen, ["conv_id", "turn"], "left_anti").select("conv_id", "turn")
+    units = t.conversations.select(F.col("conv_id").alias("family"), F.struct("conv_id", "turn").alias("uid"), F.octet_length("text").alias("cost"))
+    return graph.family_completion(units, units.where("uid.turn = 0").select("uid")).select("uid.conv_id", "uid.turn")
 
 
 @query("graph_corroboration", f"""
 WITH r AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), f AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM r)
 SELECT l_partkey AS uid, round(max({S.UNIT_SCORE.format(x='l_orderkey')} / sqrt(n)), 6) AS support FROM f WHERE n <= 8 GROUP BY 1""")
 def _(t):
-    calls = t.lineitem.select("l_orderkey", "l_partkey").distinct().withColumn("n", F.count(F.lit(1)).over(W.partitionBy("l_orderkey")))
-    return calls.where("n <= 8").groupBy(F.col("l_partkey").alias("uid")).agg(F.round(F.max(F.expr(S.UNIT_SCORE.format(x="l_orderkey")) / F.sqrt("n")), 6).alias("support"))
+    calls = t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return graph.corroboration(calls, _scored(t.lineitem.select("l_orderkey").distinct(), "l_orderkey")).select("uid", F.round("support", 6).alias("support"))
 
 
-@query("graph_entity_links", "SELECT p_brand AS src, l_suppkey AS dst, round(max(CAST(l_linenumber AS DOUBLE) * 0.85::DOUBLE / 10), 6) AS weight, CAST(count(*) AS BIGINT) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
+@query("graph_entity_links", """
+WITH r AS (SELECT p_brand AS a, 's' || l_suppkey AS b, CAST(l_linenumber AS DOUBLE) / 10 * CASE l_returnflag WHEN 'A' THEN 0.85::DOUBLE WHEN 'N' THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS w FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT src, dst, round(max(w), 6) AS weight, count(*) AS n FROM (SELECT a AS src, b AS dst, w FROM r UNION ALL SELECT b, a, w FROM r) GROUP BY 1, 2""")
 def _(t):
-    unit_links = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.max("l_linenumber").alias("c"), F.count(F.lit(1)).alias("k"))
-    lifted = unit_links.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return lifted.groupBy(F.col("p_brand").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.round(F.max(F.col("c").cast("double") * 0.85 / 10), 6).alias("weight"), F.sum("k").alias("n"))
+    """Parts and suppliers as units; a part's entity is its brand."""
+    kind = F.when(F.col("l_returnflag") == "A", "calls").when(F.col("l_returnflag") == "N", "member_of").otherwise("references_type")
+    relations = t.lineitem.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), kind.alias("kind"), (F.col("l_linenumber").cast("double") / 10).alias("confidence"))
+    owners = t.part.select(F.concat(F.lit("p"), "p_partkey").alias("uid"), F.col("p_brand").alias("entity")).unionByName(t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("uid")).withColumn("entity", F.col("uid")))
+    return graph.entity_links(relations, owners).select("src", "dst", F.round("weight", 6).alias("weight"), "n")
 
 
 @query("graph_two_hop", f"""
@@ -254,7 +264,7 @@ def _(t):
 
 @query("graph_owner_closure", """
 WITH RECURSIVE u AS (SELECT conv_id || '/' || turn AS symbol, CASE WHEN turn > 0 THEN conv_id || '/' || (turn - 1) END AS owner, role <> 'system' AND turn <> 3 AS callable FROM conversations),
-c AS (SELECT symbol, symbol AS root, owner AS next, 0 AS k FROM u UNION ALL SELECT c.symbol, c.next, u.owner, k + 1 FROM c JOIN u ON u.symbol = c.next WHERE u.callable AND k < 16)
+c AS (SELECT symbol, symbol AS root, owner AS next, 0 AS k FROM u UNION ALL SELECT c.symbol, c.next, u.owner, k + 1 FROM c JOIN u ON u.symbol = c.next WHERE u.callable)
 SELECT symbol, arg_max(root, k) AS root FROM c GROUP BY symbol""")
 def _(t):
     name = lambda turn: F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string"))
@@ -299,11 +309,8 @@ scored AS (SELECT p.qid, p.uid, d.cost, d.lang, round({S.hash_score('b.text', 'd
 spent AS (SELECT *, sum(cost) OVER (PARTITION BY qid ORDER BY score DESC, uid) AS spent, row_number() OVER (PARTITION BY qid, lang ORDER BY score DESC, uid) - 1 AS role_rank FROM scored)
 SELECT qid, uid, round(score, 6) AS score, CAST(role_rank AS INT) AS role_rank, CAST(spent AS BIGINT) AS spent FROM spent WHERE spent <= 4000""")
 def flagship(t):
-    """Hybrid recall, fusion, pair scores, ranks within a role and a prefix of the budget, for all queries at once."""
-    pool = _fused(t, POOL).select("qid", "uid")
-    scored = scoring.score_pairs(pool, _queries(t), _documents(t))
-    priced = scored.join(t.documents.select(F.col("doc_id").alias("uid"), "lang", T.token_cost(F.col("text")).cast("long").alias("cost")), "uid")
-    best = (F.desc("score"), F.col("uid"))
-    spent = F.sum("cost").over(W.partitionBy("qid").orderBy(*best).rowsBetween(W.unboundedPreceding, 0))
-    rank = F.row_number().over(W.partitionBy("qid", "lang").orderBy(*best)) - 1
-    return priced.select("qid", "uid", F.round("score", 6).alias("score"), rank.alias("role_rank"), spent.alias("spent")).where("spent <= 4000")
+    """Hybrid recall, fusion, pair scores, ranks within a role and a prefix of the budget, for all queries at once, over an index that is built once."""
+    from .code import asked, documents_index
+
+    found = search(documents_index(t), asked(t), 4000)
+    return found.select("qid", "uid", F.round("score", 6).alias("score"), "role_rank", "spent")

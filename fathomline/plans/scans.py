@@ -68,7 +68,7 @@ def _(t):
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("identity").alias("least_identity"))
 
 
-@query("store_dense_reid", "SELECT conv_id, turn, row_number() OVER (ORDER BY substr(sha256('c/' || conv_id), 1, 2), 'c/' || conv_id, turn) - 1 AS uid FROM conversations")
+@query("store_dense_reid", "SELECT conv_id, turn, row_number() OVER (ORDER BY sha256('c/' || conv_id), turn) - 1 AS uid FROM conversations")
 def _(t):
     rows = t.conversations.select("conv_id", "turn", F.concat(F.lit("c/"), F.col("conv_id").cast("string")).alias("path"), F.col("turn").alias("start"))
     return units.with_ids(rows).select("conv_id", "turn", "uid")
@@ -219,7 +219,7 @@ def _(t):
     return t.benchmark.select("item_id", F.posexplode(T.facets(asked)).alias("k", "f")).select("item_id", "k", "f.question", F.array_join("f.terms", " ").alias("terms"))
 
 
-@query("fn_facet_prompt", "SELECT item_id, concat_ws('|', q, a || chr(10) || 'Context: ' || q, b || chr(10) || 'Context: ' || q) AS prompts FROM (SELECT item_id, text AS q, 'a' || item_id AS a, 'b' || item_id AS b FROM benchmark)")
+@query("fn_facet_prompt", "SELECT item_id, concat_ws('|', q, a || chr(10) || 'Context for this part of the request: ' || q, b || chr(10) || 'Context for this part of the request: ' || q) AS prompts FROM (SELECT item_id, text AS q, 'a' || item_id AS a, 'b' || item_id AS b FROM benchmark)")
 def _(t):
     parts = F.array(F.concat(F.lit("a"), "item_id"), F.col("text"), F.concat(F.lit("b"), "item_id"), F.concat(F.lit("a"), "item_id"))
     return t.benchmark.select("item_id", F.array_join(T.prompts(F.col("text"), parts), "|").alias("prompts"))

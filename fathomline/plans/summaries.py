@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluate
-from ..sources import store
+from ..sources import shared, store
 from ..streaming import live
 from . import fragments as S
 from .registry import Tables, query
@@ -105,23 +105,22 @@ def _(t):
     return live.diff(*_manifests(t))
 
 
-@query("live_poll_stream")
+@query("live_poll_stream", "SELECT user_id AS path, arg_max(event_type, {'t': ts, 's': event_type}) AS state, max(ts) AS ts FROM events GROUP BY 1")
 def _(t):
-    """The change files of a folder as a stream, drained once into the latest state of each path."""
+    """The change files of a folder as a stream, drained into published versions of the latest state of each path."""
     import uuid
 
     from pyspark.sql.types import StructType
 
     spark = t.spark
+    root = f"{shared.checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
     schema = StructType([f for f in t.events.schema if f.name in ("event_id", "user_id", "event_type", "ts")])
-    name = f"live_{uuid.uuid4().hex}"
     # a glob of one file: the folder holds the other tables too
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/events.parquet*")
-    changes = stream.select(F.col("user_id").alias("path"), F.col("event_type").alias("state"), "ts", F.col("event_id").alias("seq"))
-    state = changes.groupBy("path").agg(F.max(F.struct("ts", "seq", "state")).alias("x")).select("path", "x.state", "x.ts")
-    running = state.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    stream = live.watch(spark, f"{t.sf_dir}/events.parquet*", schema)
+    # the state itself breaks ties of one instant
+    changes = stream.select(F.col("user_id").alias("path"), F.col("event_type").alias("state"), "ts", F.col("event_type").alias("seq"))
+    live.keep_current(changes, f"{root}/checkpoint", live.publish_states(f"{root}/states")).awaitTermination()
+    return store.current(spark, f"{root}/states")[1]["states"]
 
 
 @query("live_garbage", "SELECT DISTINCT sha256(text) AS key FROM documents WHERE source IN ('src1', 'src2')")
@@ -141,14 +140,14 @@ def _(t):
 
 
 _CONTEXTS = f"""src AS (SELECT doc_id, 'd/' || doc_id AS path, {S.lines('text')} AS l FROM documents), line AS (SELECT doc_id, path, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM src),
-seen AS (SELECT doc_id, path, line, CASE WHEN doc_id % 5 = 0 AND line = 2 THEN text || '!' ELSE text END AS text FROM line WHERE line <= 6)"""
+seen AS (SELECT doc_id, path, line, CASE WHEN doc_id % 5 = 0 AND line = 2 THEN text || '!' ELSE text END AS text FROM line)"""
 
 
 def _contexts(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Rendered heads of documents, one in five with a changed line, and their sources."""
+    """Rendered documents, one in five with a changed line, and their sources."""
     lines = T.physical_lines(F.col("text"))
     sources = t.documents.select(F.col("doc_id").alias("rid"), F.concat(F.lit("d/"), "doc_id").alias("path"), "text")
-    head = F.transform(F.slice(lines, 1, 6), lambda x, i: F.when((F.col("doc_id") % 5 == 0) & (i == 1), F.concat(x, F.lit("!"))).otherwise(x))
+    head = F.transform(lines, lambda x, i: F.when((F.col("doc_id") % 5 == 0) & (i == 1), F.concat(x, F.lit("!"))).otherwise(x))
     contexts = t.documents.select(F.col("doc_id").alias("rid"), F.concat_ws("\n", F.concat(F.lit("d/"), "doc_id"), F.array_join(F.transform(head, lambda x, i: F.concat_ws("\t", (i + 1).cast("string"), x)), "\n")).alias("context"))
     return contexts, sources
 
@@ -159,7 +158,7 @@ def _(t):
     return evaluate.verified(evaluate.parsed(contexts), sources.drop("rid")).select("rid", "line", "valid")
 
 
-_GOLD = "gold AS (SELECT doc_id AS rid, line // 3 AS unit, line % 2 AS alternative, path, line FROM line WHERE line <= 12 AND trim(text, ' ') <> '')"
+_GOLD = "gold AS (SELECT doc_id AS rid, line // 3 AS unit, line % 2 AS alternative, path, line FROM line WHERE trim(text, ' ') <> '')"
 
 
 @query("eval_coverage", f"""
@@ -177,7 +176,7 @@ def _verified(t: Tables) -> DataFrame:
 
 def _gold(t: Tables) -> DataFrame:
     lines = _contexts(t)[1].select("rid", "path", F.posexplode(T.physical_lines(F.col("text"))).alias("k", "row")).withColumn("line", F.col("k") + 1)
-    return lines.where((F.col("line") <= 12) & (F.trim("row") != "")).select("rid", F.floor(F.col("line") / 3).alias("unit"), (F.col("line") % 2).alias("alternative"), "path", "line")
+    return lines.where(F.trim("row") != "").select("rid", F.floor(F.col("line") / 3).alias("unit"), (F.col("line") % 2).alias("alternative"), "path", "line")
 
 
 @query("eval_gold_validate", "SELECT item_id, doc_id, CAST(instr(d.text, b.text) AS INT) AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -215,24 +214,22 @@ def _(t):
 
 
 @query("eval_miss_taxonomy", f"""
-WITH {_CONTEXTS}, {_GOLD}, ok AS (SELECT s.doc_id AS rid, s.line FROM seen s JOIN line l USING (doc_id, line) WHERE s.text = l.text),
-a AS (SELECT g.rid, unit, alternative, bool_and(ok.line IS NOT NULL) AS raw, bool_and(ok.line IS NOT NULL AND g.line <= 3) AS cut, bool_or(ok.line IS NOT NULL) AS part FROM gold g LEFT JOIN ok ON ok.rid = g.rid AND ok.line = g.line GROUP BY 1, 2, 3),
+WITH {_CONTEXTS}, {_GOLD}, spent AS (SELECT doc_id, line, sum({S.tokens('text')} + 1) OVER (PARTITION BY doc_id ORDER BY line) AS spent FROM seen),
+ok AS (SELECT s.doc_id AS rid, s.line, spent FROM seen s JOIN line l USING (doc_id, line) JOIN spent USING (doc_id, line) WHERE s.text = l.text),
+a AS (SELECT g.rid, unit, alternative, bool_and(ok.line IS NOT NULL) AS raw, bool_and(ok.line IS NOT NULL AND coalesce(spent, 0) <= 256) AS cut, bool_or(ok.line IS NOT NULL) AS part FROM gold g LEFT JOIN ok ON ok.rid = g.rid AND ok.line = g.line GROUP BY 1, 2, 3),
 u AS (SELECT rid, unit, bool_or(raw) AS raw, bool_or(cut) AS cut, bool_or(part) AS part FROM a GROUP BY 1, 2)
 SELECT CASE WHEN cut THEN 'covered' WHEN raw THEN 'lost-to-budget' WHEN part THEN 'incomplete-in-raw' ELSE 'absent-from-raw' END AS kind, count(*) AS n FROM u GROUP BY 1""")
 def _(t):
-    have = _verified(t).where("valid").select("rid", "path", "line").withColumn("there", F.lit(True))
+    """Gold that is covered within 256 tokens, lost to that budget, incomplete or absent."""
+    spent = F.sum(T.tokens(F.col("text")) + 1).over(W.partitionBy("rid").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
+    have = _verified(t).withColumn("spent", spent).where("valid").select("rid", "path", "line", "spent").withColumn("there", F.lit(True))
     met = _gold(t).join(have, ["rid", "path", "line"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
-    whole = met.groupBy("rid", "unit", "alternative").agg(F.bool_and("there").alias("raw"), F.bool_and(F.col("there") & (F.col("line") <= 3)).alias("cut"), F.bool_or("there").alias("part"))
+    whole = met.groupBy("rid", "unit", "alternative").agg(F.bool_and("there").alias("raw"), F.bool_and(F.col("there") & (F.coalesce("spent", F.lit(0)) <= 256)).alias("cut"), F.bool_or("there").alias("part"))
     units = whole.groupBy("rid", "unit").agg(*[F.bool_or(c).alias(c) for c in ("raw", "cut", "part")])
     kind = F.when(F.col("cut"), "covered").when(F.col("raw"), "lost-to-budget").when(F.col("part"), "incomplete-in-raw").otherwise("absent-from-raw")
     return units.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("eval_anchor_proxy", "SELECT c.conv_id, bool_and(contains(lower(c.text), 'the') OR c.turn > 2) AS hit, count(*) AS evidence FROM conversations c WHERE turn < 8 GROUP BY 1")
-def _(t):
-    return t.conversations.where("turn < 8").groupBy("conv_id").agg(F.bool_and(F.contains(F.lower("text"), F.lit("the")) | (F.col("turn") > 2)).alias("hit"), F.count(F.lit(1)).alias("evidence"))
-
-
 @query("ext_cube", "SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*) AS n FROM documents GROUP BY CUBE (lang, source)")
 def _(t):
     return t.documents.cube("lang", "source").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("source", F.lit("*")).alias("source"), "n")
@@ -247,4 +244,22 @@ def _(t):
 
 @query("ext_watermark", "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t):
-    return t.events.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
+    """Days counted as a stream in append mode: a day is written once when the watermark has passed it; a last event far ahead closes the last day."""
+    import uuid
+
+    spark = t.spark
+    root = f"{shared.checkpoint_dir(spark)}/days-{uuid.uuid4().hex}"
+    schema = "ts timestamp, event_type string"
+    seen = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    store.put(seen, f"{root}/in/1")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/in")
+    days = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
+
+    def drain() -> None:
+        days.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    drain()
+    store.put(seen.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts")).withColumn("event_type", F.lit("")), f"{root}/in/2")
+    drain()
+    out = spark.read.schema("day timestamp, event_type string, n bigint").parquet(f"{root}/out").where("event_type <> ''")
+    return out.select(F.col("day").cast(dict(t.events.dtypes)["ts"]).alias("day"), "event_type", "n")

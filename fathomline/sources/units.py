@@ -76,7 +76,15 @@ def python_units(path: str, text: str) -> list[tuple]:
     return out
 
 
-ADAPTERS = {"python": python_units, "text": text_units}
+def adapters() -> dict:
+    """Language: the function that cuts a file (path, text) into units."""
+    from .braces import brace_units
+
+    return {"python": python_units, "text": text_units, "go": brace_units("go"), "javascript": brace_units("javascript"), "typescript": brace_units("typescript")}
+
+
+#: part of the identity of what is extracted; changes with the rules of the adapters
+ADAPTER_VERSIONS = {"python": "ast-2", "text": "chunks-1", "go": "braces-1", "javascript": "braces-1", "typescript": "braces-1"}
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -84,13 +92,35 @@ def extract(files: DataFrame) -> DataFrame:
     columns = [c.split()[0] for c in UNIT.split(", ")]
 
     def run(frames):
+        known = adapters()
         for f in frames:
-            rows = [u for p, t, lang in zip(f.path, f.text, f.language, strict=True) if t for u in ADAPTERS.get(lang, text_units)(p, t)]
+            rows = [u for p, t, lang in zip(f.path, f.text, f.language, strict=True) if t for u in known.get(lang, text_units)(p, t)]
             yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "text", "language").mapInPandas(run, UNIT)
 
 
+def fell_back(files: DataFrame, units: DataFrame) -> DataFrame:
+    """(path, language): files of a structural language that were cut as text, because their syntax failed."""
+    text = units.where("kind = 'text'").select("path").distinct()
+    return files.where(F.col("language").isin([k for k in ADAPTER_VERSIONS if k != "text"])).select("path", "language").join(text, "path", "left_semi")
+
+
+def fingerprint(files: DataFrame, options: str = "") -> DataFrame:
+    """``files`` with ``fingerprint``: content, options and the version of the file's adapter."""
+    version = F.create_map(*[F.lit(x) for pair in ADAPTER_VERSIONS.items() for x in pair])
+    return files.withColumn("fingerprint", F.sha2(F.concat_ws("\x01", "path", "sha256", F.lit(options), F.coalesce(F.try_element_at(version, "language"), F.lit(""))), 256))
+
+
+def extract_changed(files: DataFrame, before: DataFrame, options: str = "") -> DataFrame:
+    """Units with ``fingerprint``: those of ``before`` where nothing changed, and of the other files anew."""
+    now = fingerprint(files, options)
+    kept = before.join(now.select("path", "fingerprint"), ["path", "fingerprint"], "left_semi")
+    new = now.join(before.select("path", "fingerprint").distinct(), ["path", "fingerprint"], "left_anti")
+    fresh = extract(new).join(now.select("path", "fingerprint"), "path")
+    return kept.select(*fresh.columns).unionByName(fresh)
+
+
 def calls(files: DataFrame) -> DataFrame:
     """(path, line, name) of the calls in Python files, as they are written."""
 
@@ -113,15 +143,21 @@ def calls(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, "path string, line int, name string")
 
 
+#: units that one cell should hold
+CELL_UNITS = 1 << 18
+
+
 def with_ids(units: DataFrame) -> DataFrame:
-    """Dense ids by (path, start). Paths are numbered by the counts before them, not in one window over all units."""
-    counts = units.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    cell = F.substring(F.sha2("path", 256), 1, 2)
-    # 256 buckets are summed first; only their totals meet in one task
-    buckets = counts.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"))
-    starts = buckets.select("cell", F.coalesce(F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    place = F.row_number().over(W.partitionBy("cell").orderBy("path", "start")) - 1
-    return units.withColumn("cell", cell).withColumn("k", place).join(F.broadcast(starts), "cell").withColumn("uid", F.col("base") + F.col("k")).drop("k", "base")
+    """Dense ids by a digest of the path, then the start. Cells of about ``CELL_UNITS`` are numbered by themselves and moved by the counts before them."""
+    digits = 0
+    n = units.count()
+    while CELL_UNITS << (4 * digits) < n:
+        digits += 1
+    cell = F.substring(F.sha2("path", 256), 1, digits)
+    sizes = units.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("cell", F.coalesce(F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    place = F.row_number().over(W.partitionBy("cell").orderBy(F.sha2("path", 256), "start")) - 1
+    return units.withColumn("cell", cell).withColumn("k", place).join(starts, "cell").withColumn("uid", F.col("base") + F.col("k")).drop("k", "base")
 
 
 def violations(units: DataFrame, files: DataFrame) -> DataFrame:
