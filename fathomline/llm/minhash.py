@@ -7,11 +7,16 @@ Documents whose 5-word shingle sets have a Jaccard similarity of 85 % or more ar
    the threshold shares no band with probability (1 - 0.85**5)**26, about 2.4e-7.
 3. The documents of a band bucket are tied to the smallest one, not to each other, and these
    ties are closed to families: any two documents of a bucket are in one family.
-4. A family is compared inside tasks, in blocks of bounded size, so no pair of documents is
-   ever a row. Signatures are verified first (six standard deviations below the threshold),
-   then full sets; only pairs that join two parts not yet joined are checked and reported,
-   which leaves the components as they are.
-5. Components of the confirmed links by large-star and small-star.
+4. A family of one block is compared inside a task. In a larger one, documents are first confirmed
+   against one head each, a member of the largest part of a bucket they share; the parts that
+   come of it grow by rounds, each with other heads. Rounds go on while they leave three
+   quarters or less open; a round ships an open document once.
+5. What is still open, documents of a bucket with more than one part, is compared in blocks of
+   bounded size: the smaller parts of a family with each other and with its largest part, never
+   the largest with itself. No pair of documents is ever a row. Signatures are verified first (six
+   standard deviations below the threshold), then full sets; only pairs that join two parts not yet
+   joined are checked and reported, which leaves the components as they are.
+6. Components of the confirmed links by large-star and small-star.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a text
 of fewer than five words is one shingle; rows of one id are one node; a null id is compared with
@@ -20,6 +25,8 @@ nothing (component null, kept).
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,8 +88,8 @@ def _sign(batches):
 
 
 class _Forest:
-    def __init__(self, n: int):
-        self.root = np.arange(n)
+    def __init__(self, root: np.ndarray):
+        self.root = root
 
     def join(self, a: int, b: int) -> bool:
         x, y = self.root[a], self.root[b]
@@ -92,16 +99,25 @@ class _Forest:
         return True
 
 
-def confirmed_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of one block, or of two blocks (``left`` marks the first)."""
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    shared = int(np.count_nonzero(_found(a, b)))
+    return 100 * shared >= THRESHOLD_PERCENT * (len(a) + len(b) - shared)
+
+
+def confirmed_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray | None = None, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that span the components of one block, or of two blocks (``left`` marks the first).
+
+    Rows of equal ``parts`` are joined already.
+    """
     n = len(ids)
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     ids, sets, sizes = ids[order], [sets[i] for i in order], sizes[order]
     left = None if left is None else left[order]
+    root = np.arange(n) if parts is None else np.unique(parts[order], return_inverse=True)[1]
     marks = np.stack([minima(s) for s in sets]) if n > 2 else None
     least = THRESHOLD_PERCENT / 100 - 6 * np.sqrt(0.15 * 0.85 / (BANDS * ROWS))
-    forest, links = _Forest(n), []
+    forest, links = _Forest(root), []
     for i in range(1, n):
         lo = int(np.searchsorted(sizes[:i] * 100, THRESHOLD_PERCENT * sizes[i]))
         cand = np.arange(lo, i)
@@ -118,8 +134,7 @@ def confirmed_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray |
             # the most alike of each part first; the others only where that fails
             _, pick = np.unique(forest.root[cand], return_index=True)
             for j in cand[np.sort(pick)]:
-                shared = int(np.count_nonzero(_found(sets[i], sets[j])))
-                if 100 * shared >= THRESHOLD_PERCENT * (sizes[i] + sizes[j] - shared) and forest.join(i, int(j)):
+                if _linked(sets[i], sets[j]) and forest.join(i, int(j)):
                     links.append((int(ids[i]), int(ids[j])))
             cand = np.delete(cand, pick)
             cand = cand[forest.root[cand] != forest.root[i]]
@@ -137,30 +152,106 @@ _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 def _confirm(batches):
     """Stream blocks sorted by (family, bi, bj); hold one at a time."""
-    key, ids, sets, blocks = None, [], [], []
+    key, ids, sets, blocks, parts = None, [], [], [], []
 
     def flush():
         left = np.array(blocks) == key[1] if key[1] != key[2] else None
-        found = confirmed_links(np.array(ids, dtype=np.int64), sets, left)
+        found = confirmed_links(np.array(ids, dtype=np.int64), sets, left, np.array(parts, dtype=np.int64))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=_LINKS)
 
     for batch in batches:
         keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
-        own, block = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        data, offsets = text_buffer(batch.column(5))
+        own, part, block = (batch.column(c).to_pylist() for c in (3, 4, 5))
+        data, offsets = text_buffer(batch.column(6))
         for lo, hi in runs(offsets):
             for i, s in zip(range(lo, hi), shingle_sets(Words(data, offsets, lo, hi, fold=True), SHINGLE), strict=True):
                 if keys[i] != key:
                     if len(ids) > 1:
                         yield flush()
-                    key, ids, sets, blocks = keys[i], [], [], []
+                    key, ids, sets, blocks, parts = keys[i], [], [], [], []
                 ids.append(own[i])
                 sets.append(s)
                 blocks.append(block[i])
+                parts.append(part[i])
     if len(ids) > 1:
         yield flush()
 
 
+def _meet_heads(batches):
+    """Stream groups sorted by (head, salt), the head's own rows first; hold the head's sets only."""
+    key, heads = None, []
+    for batch in batches:
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        member, part, head_part = (batch.column(c).to_pylist() for c in (2, 3, 4))
+        data, offsets = text_buffer(batch.column(5))
+        u, v = [], []
+        for lo, hi in runs(offsets):
+            for i, s in zip(range(lo, hi), shingle_sets(Words(data, offsets, lo, hi, fold=True), SHINGLE), strict=True):
+                if keys[i] != key:
+                    key, heads = keys[i], []
+                if not member[i]:
+                    if not any(np.array_equal(s, h) for h in heads):
+                        heads.append(s)
+                elif any(_linked(s, h) for h in heads if len(s) and len(h)):
+                    u.append(part[i])
+                    v.append(head_part[i])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_LINKS)
+
+
+def _grown_parts(keys: DataFrame, nodes: DataFrame, rows: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(node, part) of confirmed links to heads, and the nodes of buckets that still hold several parts.
+
+    ``keys`` has node, band, key and ``nodes`` has node; a part is named by its smallest node.
+    """
+    parts = ws.put(nodes.select("node", F.col("node").alias("part")), "part-0")
+    before = None
+    for k in count():
+        here = keys.join(parts, "node")
+        shares = here.groupBy("band", "key", "part").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(k)) if k else F.col("node")).alias("head"))
+        largest = F.max_by(F.struct("head", F.col("part").alias("head_part")), F.struct("n", -F.col("part")))
+        mixed = shares.groupBy("band", "key").agg(largest.alias("l"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band", "key", "l.*")
+        met = here.join(mixed, ["band", "key"])
+        tries = met.where("part <> head_part").groupBy("node", "part", "head", "head_part").agg(F.count(F.lit(1)).alias("n"))
+        best = F.max_by(F.struct("head", "head_part"), F.struct("n", -F.col("head")))
+        tries = ws.put(tries.groupBy("node", "part").agg(best.alias("b")).select("node", "part", "b.*"), f"tries-{k}")
+        still = tries.count()
+        if not still or (before is not None and (still <= BLOCK_DOCS or 4 * still > 3 * before)):
+            ws.drop(f"tries-{k}")
+            return parts, met.select("node", "part").distinct()
+        before = still
+        salts = tries.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("salts"))
+        members = tries.join(salts, "head").select("node", "head", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "part", "head_part")
+        heads = salts.select(F.col("head").alias("node"), "head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.lit(None).cast("long").alias("part"), F.lit(None).cast("long").alias("head_part"))
+        work = (
+            rows.join(members.unionByName(heads), rows.id == F.col("node"))
+            .select("head", "salt", "member", "part", "head_part", "body")
+            .repartition("head", "salt")
+            .sortWithinPartitions("head", "salt", "member")
+        )
+        links = ws.put(work.mapInArrow(_meet_heads, "u long, v long"), f"head-links-{k}")
+        merged = ws.put(connected_components(links, ws, f"heads-{k}"), f"merged-{k}").select(F.col("node").alias("part"), "component")
+        parts = ws.put(parts.join(merged, "part", "left").select("node", F.coalesce("component", "part").alias("part")), f"part-{k + 1}")
+        ws.drop(f"tries-{k}", f"head-links-{k}", f"merged-{k}", f"part-{k}")
+
+
+def _blocks(side: F.Column) -> F.Column:
+    """Blocks for the rows of one side, by documents and by shingles."""
+    docs, shingles = F.count(F.when(side, 1)), F.sum(F.when(side, F.col("n")).otherwise(0))
+    return F.greatest(F.ceil(docs / BLOCK_DOCS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _across_parts(still: DataFrame) -> DataFrame:
+    """node, family, part, block, other: pairs of blocks but for those within a family's largest part."""
+    shares = still.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = shares.groupBy("family").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("largest"))
+    sided = still.join(largest, "family").withColumn("small", F.col("part") != F.col("largest"))
+    sizes = sided.groupBy("family").agg(_blocks(~F.col("small")).alias("a"), _blocks(F.col("small")).alias("b"))
+    last = F.col("a") + F.col("b") - 1
+    block = F.when(F.col("small"), F.col("a") + F.pmod(F.xxhash64("node"), F.col("b"))).otherwise(F.pmod(F.xxhash64("node"), F.col("a"))).cast("int")
+    others = F.when(F.col("small"), F.sequence(F.lit(0), last)).otherwise(F.sequence(F.col("a"), last))
+    return sided.join(sizes, "family").select("node", "family", "part", block.alias("block"), F.explode(others).alias("other"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
     ws = Workspace(docs.sparkSession, "minhash")
@@ -180,17 +271,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     families = ws.put(connected_components(ties, ws, "families"), "families").withColumnRenamed("component", "family")
 
     members = families.join(named.join(reps.withColumnRenamed("rep", "id"), [*digest, "id"]).groupBy(F.col("id").alias("node")).agg(F.max("n_shingles").alias("n")), "node")
-    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = families.join(sizes, "family").select("node", "family", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    sizes = members.groupBy("family").agg(_blocks(F.lit(True)).alias("blocks"))
+    placed = ws.put(members.join(sizes, "family"), "placed")
+    pairs = placed.where("blocks = 1").select("node", "family", F.col("node").alias("part"), F.lit(0).alias("block"), F.lit(0).alias("other"))
+    large, known = placed.where("blocks > 1"), same_id
+    if not large.isEmpty():
+        large_keys = ws.put(keys.withColumnRenamed("id", "node").join(large.select("node"), "node"), "large-keys")
+        grown, still = _grown_parts(large_keys, large, rows, ws)
+        known = known.unionByName(grown.where("node <> part").select(F.col("node").alias("u"), F.col("part").alias("v")))
+        pairs = pairs.unionByName(_across_parts(ws.put(still.join(large.select("node", "family", "n"), "node"), "still")))
     work = (
-        rows.join(placed, rows.id == placed.node)
-        .select("family", "block", "id", "body", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("family", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "id", "block", "body")
+        rows.join(pairs, rows.id == pairs.node)
+        .select("family", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "id", "part", "block", "body")
         .repartition("family", "bi", "bj")
         .sortWithinPartitions("family", "bi", "bj", "id")
     )
     links = ws.put(work.mapInArrow(_confirm, "u long, v long"), "links")
-    parts = ws.put(connected_components(links.unionByName(same_id), ws, "parts"), "components")
+    parts = ws.put(connected_components(links.unionByName(known), ws, "parts"), "components")
     named_rows = signed_rows.join(reps, digest, "left").join(parts, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return named_rows.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

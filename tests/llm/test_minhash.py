@@ -101,3 +101,31 @@ def test_blocks_of_a_large_family(spark, monkeypatch):
             left = np.array([i % 3 == bi for i in pick]) if bi != bj else None
             split += minhash.confirmed_links(np.array(pick), [sets[i] for i in pick], left)
     assert parts(split) == whole
+
+
+def test_large_families_match_brute_force(spark, monkeypatch):
+    """Small blocks send families through heads, parts and what is left between parts."""
+    from fathomline.llm import minhash
+
+    calls = []
+    across = minhash._across_parts
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 6)
+    monkeypatch.setattr(minhash, "_across_parts", lambda still: calls.append(still.count()) or across(still))
+    rng = random.Random(11)
+    rows, k = [], 0
+    for edits in (1, 5, 12):
+        base = [f"w{rng.randrange(500)}" for _ in range(200)]
+        for _ in range(50):
+            rows.append((k, " ".join(edited(rng, base, rng.randrange(0, 1 + edits)))))
+            k += 1
+    # a chain in which each text is near to the next only, and two ids of several texts
+    words = [f"w{rng.randrange(500)}" for _ in range(200)]
+    for _ in range(30):
+        words = edited(rng, words, 2)
+        rows.append((k, " ".join(words)))
+        k += 1
+    rows += [(3, rows[60][1]), (101, "some other text of its own"), (None, rows[0][1])]
+    rng.shuffle(rows)
+    assert run(spark, rows) == brute(rows)
+    assert calls and calls[0] > 0
+
