@@ -198,15 +198,16 @@ def _meet_heads(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_LINKS)
 
 
-def _grown_parts(keys: DataFrame, nodes: DataFrame, rows: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+def _grown_parts(bands: DataFrame, nodes: DataFrame, rows: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """(node, part) of confirmed links to heads, and the nodes of buckets that still hold several parts.
 
-    ``keys`` has node, band, key and ``nodes`` has node; a part is named by its smallest node.
+    ``bands`` has node, bands and ``nodes`` has node; a part is named by its smallest node. Keys are
+    told apart after a node has met its part, so no join makes more than one row for a node's text.
     """
     parts = ws.put(nodes.select("node", F.col("node").alias("part")), "part-0")
     before = None
     for k in count():
-        here = keys.join(parts, "node")
+        here = bands.join(parts, "node").select("node", "part", F.posexplode("bands").alias("band", "key"))
         shares = here.groupBy("band", "key", "part").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(k)) if k else F.col("node")).alias("head"))
         largest = F.max_by(F.struct("head", F.col("part").alias("head_part")), F.struct("n", -F.col("part")))
         mixed = shares.groupBy("band", "key").agg(largest.alias("l"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band", "key", "l.*")
@@ -276,8 +277,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = placed.where("blocks = 1").select("node", "family", F.col("node").alias("part"), F.lit(0).alias("block"), F.lit(0).alias("other"))
     large, known = placed.where("blocks > 1"), same_id
     if not large.isEmpty():
-        large_keys = ws.put(keys.withColumnRenamed("id", "node").join(large.select("node"), "node"), "large-keys")
-        grown, still = _grown_parts(large_keys, large, rows, ws)
+        large_bands = ws.put(heads.withColumnRenamed("id", "node").join(large.select("node"), "node"), "large-bands")
+        grown, still = _grown_parts(large_bands, large, rows, ws)
         known = known.unionByName(grown.where("node <> part").select(F.col("node").alias("u"), F.col("part").alias("v")))
         pairs = pairs.unionByName(_across_parts(ws.put(still.join(large.select("node", "family", "n"), "node"), "still")))
     work = (
