@@ -9,8 +9,8 @@ Documents whose 5-word shingle sets have a Jaccard similarity of 85 % or more ar
    ties are closed to families: any two documents of a bucket are in one family.
 4. A family of one block is compared inside a task. In a larger one, documents are first confirmed
    against one head each, a member of the largest part of a bucket they share; the parts that
-   come of it grow by rounds, each with other heads. Rounds go on while they leave three
-   quarters or less open; a round ships an open document once.
+   come of it grow by rounds, each with other heads. Rounds go on while they confirm
+   something and leave three quarters or less open; a round ships an open document once.
 5. What is still open, documents of a bucket with more than one part, is compared in blocks of
    bounded size: the smaller parts of a family with each other and with its largest part, never
    the largest with itself. No pair of documents is ever a row. Signatures are verified first (six
@@ -204,8 +204,7 @@ def _grown_parts(bands: DataFrame, nodes: DataFrame, rows: DataFrame, ws: Worksp
     ``bands`` has node, bands and ``nodes`` has node; a part is named by its smallest node. Keys are
     told apart after a node has met its part, so no join makes more than one row for a node's text.
     """
-    parts = ws.put(nodes.select("node", F.col("node").alias("part")), "part-0")
-    before = None
+    parts, before = nodes.select("node", F.col("node").alias("part")), None
     for k in count():
         here = bands.join(parts, "node").select("node", "part", F.posexplode("bands").alias("band", "key"))
         shares = here.groupBy("band", "key", "part").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(k)) if k else F.col("node")).alias("head"))
@@ -230,9 +229,12 @@ def _grown_parts(bands: DataFrame, nodes: DataFrame, rows: DataFrame, ws: Worksp
             .sortWithinPartitions("head", "salt", "member")
         )
         links = ws.put(work.mapInArrow(_meet_heads, "u long, v long"), f"head-links-{k}")
-        merged = ws.put(connected_components(links, ws, f"heads-{k}"), f"merged-{k}").select(F.col("node").alias("part"), "component")
-        parts = ws.put(parts.join(merged, "part", "left").select("node", F.coalesce("component", "part").alias("part")), f"part-{k + 1}")
-        ws.drop(f"tries-{k}", f"head-links-{k}", f"merged-{k}", f"part-{k}")
+        ws.drop(f"tries-{k}")
+        if links.isEmpty():
+            return parts, met.select("node", "part").distinct()
+        merged = connected_components(links, ws, f"heads-{k}").select(F.col("node").alias("part"), "component")
+        parts = ws.put(parts.join(merged, "part", "left").select("node", F.coalesce("component", "part").alias("part")), f"part-{k}")
+        ws.drop(f"head-links-{k}", f"part-{k - 1}")
 
 
 def _blocks(side: F.Column) -> F.Column:
