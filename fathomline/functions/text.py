@@ -21,6 +21,7 @@ SCOPES = [(r"(?i)\bpython\b", ["python"]), (r"(?i)\bgolang\b", ["go"]), (r"(?i)\
 CLAUSE = r"(?i)[:：;；，]|,\s+(?=how|which|why|where|what)|\s+and\s+(?=how|which|why|where|what|preserve|restore|validate|enforce|handle|load|save|reject|filter|check|merge|retain|stop)"
 QUESTION = r"(?i)[:：;；，]|,\s+(?=how|which|why|where|what)|\s+and\s+(?=how|which|why|where|what)"
 ASKS_DECLARATION = r"(?i)\b(interface|type alias|schema)\b|类型定义|接口类型"
+ASKS_FOR_TESTS = r"(?i)\btests?\b|测试|回归"
 FACET_CONTEXT = "\nContext for this part of the request: "
 INSTRUCTION = "Instruct: Retrieve source code implementing the requested behavior.\nQuery: "
 SECRETS = [(r"(?i)Bearer\s+[^\s\"\\\\]+", "Bearer [REDACTED]"), (r"sk-[A-Za-z0-9_-]{12,}", "[REDACTED]")]
@@ -104,6 +105,11 @@ def requested_role(query: Column) -> Column:
     return F.when(query.rlike(ASKS_TEST), "test").when(query.rlike(ASKS_DOC), "documentation").otherwise("implementation")
 
 
+def wants_tests(query: Column) -> Column:
+    """Whether a query speaks of tests anywhere."""
+    return query.rlike(ASKS_FOR_TESTS)
+
+
 def requested_languages(query: Column) -> Column:
     """The languages a query names, sorted."""
     none = F.array().cast("array<string>")

@@ -116,11 +116,16 @@ def pack(candidates: DataFrame, budget: int, preset: str) -> DataFrame:
 #: fixed values of the evidence policy: stage size, shares of a stage, limits of helpers and families
 STAGE, CORE_SHARE, NEAR_SHARE = 8000, 0.82, 0.85
 HELPERS, HELPER_COST, HELPERS_COST, HELPER_SYMBOLS, HELPER_SCORE, FAMILY_COST = 3, 1000, 1600, 8, 0.5, 3200
+#: least substance of entry points, of what they call and of helpers
+SUBSTANCE = 0.5
 
 
 @dataclass(frozen=True)
 class Unit:
-    """A candidate; ``worth`` has the intent's value first and then a value for each facet."""
+    """A candidate; ``worth`` has the intent's value first and then a value for each facet.
+
+    ``notes`` are units its documentation names; ``bundled`` says whether its symbol's other parts follow it.
+    """
 
     uid: int
     symbol: str
@@ -130,6 +135,9 @@ class Unit:
     intent: float
     worth: tuple[float, ...]
     callees: frozenset[int] = frozenset()
+    substance: float = 1.0
+    notes: frozenset[int] = frozenset()
+    bundled: bool = True
 
 
 class Evidence:
@@ -148,13 +156,17 @@ class Evidence:
         self.taken: dict[int, str] = {}
         self.spent = 0
 
+    def tells(self, u: Unit) -> bool:
+        return u.role == self.primary and u.substance >= SUBSTANCE
+
     def helpers(self, u: Unit) -> list[int]:
         if not u.role == self.primary == "implementation":
             return []
-        local = [self.units[c] for c in u.callees if c in self.units and self.units[c].path == u.path]
-        if len({x.symbol for x in local}) > HELPER_SYMBOLS:
-            return []
-        fit = [x for x in local if x.uid != u.uid and x.uid not in self.taken and x.role == u.role and x.cost <= HELPER_COST and x.intent >= HELPER_SCORE]
+        near = {x for c in u.callees if (x := self.units.get(c)) and x.path == u.path}
+        if len({x.symbol for x in near}) > HELPER_SYMBOLS:
+            near = set()
+        named = {x for c in u.notes if (x := self.units.get(c))}
+        fit = [x for x in near | named if x.uid != u.uid and x.uid not in self.taken and self.tells(x) and x.cost <= HELPER_COST and x.intent >= HELPER_SCORE]
         out, room = [], HELPERS_COST
         for x in sorted(fit, key=lambda x: (-x.intent, x.uid))[:HELPERS]:
             if x.cost <= room:
@@ -186,15 +198,15 @@ class Evidence:
         return False
 
     def callees(self) -> list[int]:
-        return sorted({c for i in self.taken for c in self.units[i].callees if c in self.units and self.units[c].role == self.primary})
+        return sorted({c for i in self.taken for c in self.units[i].callees if c in self.units and self.tells(self.units[c])})
 
     def continuations(self) -> list[int]:
-        kept = {self.units[i].symbol for i in self.taken}
+        kept = {self.units[i].symbol for i in self.taken if self.units[i].bundled}
         return [i for s in sorted(kept) for i in self.families[s] if sum(self.units[j].cost for j in self.families[s]) <= FAMILY_COST]
 
     def run(self) -> list[tuple[int, str]]:
         """(uid, phase) in the order of choice."""
-        entries = [u.uid for u in self.units.values() if u.role == self.primary]
+        entries = [u.uid for u in self.units.values() if self.tells(u)]
         facets = list(range(1, self.columns)) or [0]
         stage = 0
         while self.units and stage < self.budget:
@@ -220,12 +232,19 @@ class Evidence:
 
 
 def pack_evidence(candidates: DataFrame, budget: int) -> DataFrame:
-    """Choose per query among (qid, uid, symbol, path, cost, role, intent, worth array<double>, callees array<bigint>, tests)."""
+    """Choose per query among (qid, uid, symbol, path, cost, role, intent, worth array<double>, callees array<bigint>, tests).
+
+    Optional columns: ``primary`` (the role asked for), ``substance``, ``notes`` array<bigint> and ``bundled``, as in ``Unit``.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.drop_duplicates("uid").sort_values("uid")
-        units = [Unit(int(r.uid), r.symbol, r.path, int(r.cost), r.role, float(r.intent), tuple(map(float, r.worth)), frozenset(map(int, r.callees))) for r in rows.itertuples()]
-        chosen = Evidence(units, budget, tests=bool(group.tests.iloc[0])).run()
+        units = [
+            Unit(int(r.uid), r.symbol, r.path, int(r.cost), r.role, float(r.intent), tuple(map(float, r.worth)), frozenset(map(int, r.callees)), float(getattr(r, "substance", 1.0)), frozenset(map(int, getattr(r, "notes", ()))), bool(getattr(r, "bundled", True)))
+            for r in rows.itertuples()
+        ]
+        primary = group.primary.iloc[0] if "primary" in group else "implementation"
+        chosen = Evidence(units, budget, primary, bool(group.tests.iloc[0])).run()
         costs = {u.uid: u.cost for u in units}
         spent = np.cumsum([costs[i] for i, _ in chosen]).tolist()
         return pd.DataFrame([(int(group.qid.iloc[0]), k, i, phase, costs[i], spent[k]) for k, (i, phase) in enumerate(chosen)], columns=["qid", "position", "uid", "phase", "cost", "spent"])

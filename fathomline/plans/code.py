@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .. import index
+from .. import evidence, index
 from ..functions import text as T
 from ..operators import coverage, evaluate, graph, scoring
 from ..sources import backends, braces, relations, shared, units
@@ -59,6 +59,20 @@ def _(t):
     return _edges(relations.relations(files, made), made)
 
 
+@query("search_evidence")
+def _(t):
+    """Evidence for every benchmark item over the Python units of all suppliers' files and their resolved relations."""
+    use = F.when(F.col("next").isNotNull(), F.concat(F.lit("from .s"), F.col("next").cast("string"), F.lit(" import run as go"))).otherwise("go = len")
+    text = _lines(use, "class Base:", "    x = 1", "class Box(Base):", "    def put(self, item):", "        return self.get(item)", "    def get(self, go):", "        # :func:`run`", "        return go(1)", "def run(x):", "    return go(x)")
+    files = _files(t, ".py", "python", text)
+    made = shared.cut(units.with_ids(units.extract(files)))
+    found = shared.cut(relations.relations(files, made))
+    rows = made.join(files.select("path", "language"), "path").select(*index.COLUMNS)
+    built = index.build(rows, f"{shared.checkpoint_dir(t.spark)}/index-{index.identity_of(rows)}")
+    said = asked(t).select("qid", F.concat(F.lit("how does run get an item and put it in a box: "), "query").alias("query"))
+    return evidence.gather(built, found, said, 4000)
+
+
 @query("relations_histogram", _NEXT + " SELECT v.kind, CAST(count(*) * v.each + count(next) * v.linked AS BIGINT) AS n FROM f, (VALUES ('calls', 1, 1), ('references_value', 3, 1), ('imports', 0, 1), ('inherits', 1, 0), ('member_of', 2, 0)) AS v(kind, each, linked) GROUP BY v.kind, v.each, v.linked HAVING count(*) * v.each + count(next) * v.linked > 0")
 def _(t):
     use = F.when(F.col("next").isNotNull(), F.concat(F.lit("from .s"), F.col("next").cast("string"), F.lit(" import run as go"))).otherwise("go = len")
