@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, lines, perplexity, sharding, warc
+from . import licenses, lines, perplexity, sharding, substrings, warc
 from .decontaminate import contaminated
 from .minhash import SQL as NEAR_SQL
 from .minhash import near_duplicates
 from .mixing import mix, tempered
 from .quality import assess
-from .substrings import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +36,7 @@ def op3_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,13 +18,12 @@ document id or earlier in the same document. Matches never cross documents.
    windows are compared by 128-bit digests with a partial aggregate instead, which is exact too.
 
 Defined cases: null text has no bytes; null ids sort last; rows of one id are ordered by a digest
-of their text, and equal rows of one id are the same document.
+of their text, and equal rows of one id are the same document. Other columns of the documents are
+not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -242,30 +241,31 @@ def _scan_buckets(batches):
         yield flush()
 
 
+_KEPT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
+
+
 def _cut(batches):
+    """Maximal removed runs of each text and the bytes outside them, a few MB at a time."""
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
-        total, removed, spans, digest = [], [], [], []
+        ids = batch.column(0).to_pylist()
+        out, size = [], 0
         for i, found in enumerate(batch.column(2)):
             raw = data[int(offsets[i]) : int(offsets[i + 1])].tobytes()
-            ranges = found.as_py() or []
-            kept, n_spans, out, end = hashlib.sha256(), 0, 0, -1
-            done = 0
-            for r in sorted((r["at"], r["at"] + r["size"]) for r in ranges):
-                if r[0] > end:
-                    n_spans += 1
-                    kept.update(raw[done : r[0]])
-                    out += r[1] - r[0]
-                elif r[1] > end:
-                    out += r[1] - end
-                end = max(end, r[1])
-                done = end
-            kept.update(raw[done:])
-            total.append(len(raw))
-            removed.append(out)
-            spans.append(n_spans)
-            digest.append(kept.hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            spans: list[list[int]] = []
+            for start, stop in sorted((r["at"], r["at"] + r["size"]) for r in found.as_py() or []):
+                if spans and start <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], stop)
+                else:
+                    spans.append([start, stop])
+            kept = b"".join(raw[a:b] for a, b in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(raw)], strict=True)) if spans else raw
+            out.append({"id": ids[i], "n_bytes": len(raw), "spans": [{"start": a, "stop": b} for a, b in spans], "kept": kept})
+            size += len(kept)
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_pylist(out, schema=_KEPT)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=_KEPT)
 
 
 def removable_ranges(rows: DataFrame, ws: Workspace) -> DataFrame:
@@ -290,11 +290,21 @@ def removable_ranges(rows: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of ``docs``."""
+    """doc_id, n_bytes, spans, kept: one row for each row of ``docs``.
+
+    ``spans`` are the maximal removed runs as byte offsets (start, stop) of the original text, in order;
+    ``kept`` is what is left, as bytes, because a run may end within a character.
+    """
     ws = Workspace(docs.sparkSession, "substrings")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.pmod(F.xxhash64(text_col), F.lit(1 << 22)).alias("tag"), F.col(text_col).alias("body"))
     found = removable_ranges(rows, ws)
     located = found.select("id", F.shiftright("loc", _POS_BITS).alias("tag"), F.struct(F.col("loc").bitwiseAND(2**_POS_BITS - 1).alias("at"), "size").alias("r"))
     grouped = ws.put(located.groupBy("id", "tag").agg(F.collect_list("r").alias("ranges")), "ranges")
-    named = F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id")
-    return rows.join(grouped, ["id", "tag"], "left").select(named, "body", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = rows.join(grouped, ["id", "tag"], "left").select("id", "body", "ranges").mapInArrow(_cut, "id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    return cut.select(F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"), "n_bytes", "spans", "kept")
+
+
+def digest(cut: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the rows of ``remove_repeats``."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 from fathomline.llm import substrings
-from fathomline.llm.substrings import maximal_repeats, remove_repeats
+from fathomline.llm.substrings import digest, maximal_repeats, remove_repeats
 
 
 def brute(rows):
@@ -23,7 +23,7 @@ def brute(rows):
 
 def run(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return sorted(tuple(r) for r in remove_repeats(df).collect())
+    return sorted(tuple(r) for r in digest(remove_repeats(df)).collect())
 
 
 def corpus(rng, n):
@@ -60,7 +60,7 @@ def test_rows_of_one_id_and_null_ids(spark):
     text = "".join(random.Random(1).choices("abc ", k=300))
     got = run(spark, [(1, text), (1, text), (2, text)])
     assert [r[2] for r in got] == [0, 0, 300]
-    assert sorted(r.n_removed for r in remove_repeats(spark.createDataFrame([(None, text), (7, text)], "doc_id long, text string")).collect()) == [0, 300]
+    assert sorted(r.n_removed for r in digest(remove_repeats(spark.createDataFrame([(None, text), (7, text)], "doc_id long, text string"))).collect()) == [0, 300]
 
 
 def test_empty_table(spark):
@@ -75,3 +75,18 @@ def test_groups_have_all_occurrences():
     assert (130, [0, 1, 2]) in [(n, sorted(f for f, _ in where)) for n, where in groups]
     assert (131, [0, 2]) in [(n, sorted(f for f, _ in where)) for n, where in groups]
     assert sorted(gone) == [(1, 1, 130), (2, 1, 131)]
+
+
+def test_spans_and_kept_bytes_make_the_text_again(spark):
+    rng = random.Random(13)
+    rows = [(i, text, i, [i]) for i, text in corpus(rng, 60)] + [(900, None, 1, None), (901, "", 2, [])]
+    rows += [(902, rows[3][1], 3, [1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_bytes int, spans array<int>")
+    got = {r.doc_id: r for r in remove_repeats(docs).collect()}
+    assert set(got) == {r[0] for r in rows} and any(r.spans for r in got.values())
+    for i, text, _, _ in rows:
+        raw, r = (text or "").encode(), got[i]
+        ends = [0, *(x for s in r.spans for x in (s.start, s.stop)), len(raw)]
+        assert ends == sorted(ends) and all(a.stop < b.start for a, b in zip(r.spans, r.spans[1:]))
+        assert bytes(r.kept) == b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2]))
+        assert r.n_bytes == len(raw) == len(r.kept) + sum(s.stop - s.start for s in r.spans)
