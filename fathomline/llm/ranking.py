@@ -31,7 +31,8 @@ def numbered_in_buckets(rows: DataFrame, group: str, bucket: F.Column, order: li
     """Add ``out``: 0, 1, 2 ... within each ``group`` by ``bucket`` and then ``order``.
 
     Each bucket is numbered by itself and moved by the counts of the buckets before it. The counts
-    are one row for each bucket.
+    are one row for each bucket. They are joined by the keys that the window is dealt by, so that the
+    rows, which may hold whole texts, are shuffled once; ``group`` and ``bucket`` are therefore never null.
     """
     cut = rows.withColumn("_bucket", bucket)
     sizes = rows.select(F.col(group).alias("_group"), bucket.alias("_bucket")).groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -39,4 +40,4 @@ def numbered_in_buckets(rows: DataFrame, group: str, bucket: F.Column, order: li
     starts = sizes.select(F.col("_group"), F.col("_bucket").alias("_at"), F.coalesce(before, F.lit(0)).alias("_start"))
     own = F.row_number().over(W.partitionBy(group, "_bucket").orderBy(*order)) - 1
     placed = cut.withColumn("_own", own)
-    return placed.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_at"))).withColumn(out, F.col("_start") + F.col("_own")).drop("_bucket", "_own", "_group", "_at", "_start")
+    return placed.join(starts, (F.col(group) == F.col("_group")) & (F.col("_bucket") == F.col("_at"))).withColumn(out, F.col("_start") + F.col("_own")).drop("_bucket", "_own", "_group", "_at", "_start")
