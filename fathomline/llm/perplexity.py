@@ -19,8 +19,9 @@ scores are close to the target.
 3. A run is read again beside its answers, which line up with its sorted features, and scored.
 
 Runs and buckets grow in number with the corpus and not in size; nothing of it is broadcast or
-collected but three totals. The ids of good labels are sent to all tasks only up to
-``SENT_LABELS``; beyond that they are joined.
+collected but three totals. The tasks that write files, those of 2 and 3, work through ``EACH``
+buckets or runs one by one, for fewer files. The ids of good labels are sent to all tasks only up
+to ``SENT_LABELS``; beyond that they are joined.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` in ASCII lower case. Defined cases: texts without words have no
 losses and no score; rows of one id are documents of their own, all of them target documents if
@@ -43,6 +44,8 @@ from .workspace import Workspace
 SMOOTHING = 0.1
 RUN_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+#: buckets or runs of a task that writes; Hadoop's local file system starts processes for each new file
+EACH = 4
 SENT_LABELS = 1 << 22
 #: width of a feature's hash; the last bit tells contexts from bigrams
 FEATURE_BITS = 56
@@ -275,7 +278,8 @@ def marked(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> D
 
 def _answered(dealt: DataFrame, n_runs: int, bits: int, ws: Workspace) -> DataFrame:
     asked = dealt.repartitionById(n_runs, "run").mapInArrow(_asking(bits), "bucket long, run long, features binary, background binary, target binary")
-    answered = asked.repartitionById(1 << bits, F.col("bucket").cast("int")).sortWithinPartitions("run").mapInArrow(_answering, "run long, bucket long, background binary, target binary, contexts long, n_background long, n_target long")
+    tasks = -(-(1 << bits) // EACH)
+    answered = asked.repartitionById(tasks, (F.col("bucket") % tasks).cast("int")).sortWithinPartitions("bucket", "run").mapInArrow(_answering, "run long, bucket long, background binary, target binary, contexts long, n_background long, n_target long")
     return ws.put(answered, "answers")
 
 
@@ -291,7 +295,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     vocabulary, ratio = max(1, totals["contexts"] or 0), (totals["n_target"] or 0) / max(1, totals["n_background"] or 0)
     replies = answers.select(F.col("run").cast("int").alias("run"), F.lit(None).cast("string").alias("body"), F.lit(False).alias("good"), F.lit(None).cast("long").alias("id"), "bucket", "background", "target")
     texts = dealt.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("bucket", "long"), ("background", "binary"), ("target", "binary"))))
-    met = replies.unionByName(texts).repartitionById(n_runs, "run").sortWithinPartitions(F.col("bucket").asc_nulls_last())
+    tasks = -(-n_runs // EACH)
+    met = replies.unionByName(texts).repartitionById(tasks, (F.col("run") % tasks).cast("int")).sortWithinPartitions("run", F.col("bucket").asc_nulls_last())
     losses = met.mapInArrow(_scoring(vocabulary, ratio), "doc_id long, n_tokens long, target_loss double, background_loss double")
     return losses.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 

@@ -55,6 +55,24 @@ def test_losses_match_brute_force(spark, monkeypatch, run_bytes, bucket_bytes, s
     assert sorted(map(key, got)) == sorted(map(key, brute(rows, good)))
 
 
+def test_tasks_that_write_take_several_buckets_or_runs(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "RUN_BYTES", 100)
+    monkeypatch.setattr(perplexity, "BUCKET_BYTES", 100)
+    written = []
+    put = perplexity.Workspace.put
+    monkeypatch.setattr(perplexity.Workspace, "put", lambda self, df, name: written.append(put(self, df, name)) or written[-1])
+    rows = [(k, f"w{k % 7} w{k % 5} w{k % 3} {k}") for k in range(300)] + [(None, None), (7, ""), (900, "w1 " * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = perplexity.score(docs, spark.createDataFrame([(k, 1) for k in range(0, 300, 4)], "doc_id long, quality int"))
+    n_runs = -(-sum(len(t or "") for _, t in rows) // 100)
+    buckets = 1 << math.ceil(math.log2(sum(len(t or "") for _, t in rows) / 100))
+    assert written[0].select("bucket").distinct().count() > buckets / 2
+    assert len(written[0].inputFiles()) <= -(-buckets // 4)
+    assert out.rdd.getNumPartitions() <= -(-n_runs // 4)
+    key = lambda r: tuple(-1.0 if x is None else round(x, 9) for x in r[:4])
+    assert sorted(map(key, out.collect())) == sorted(map(key, brute(rows, set(range(0, 300, 4)))))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
