@@ -28,16 +28,18 @@ def numbered(rows: DataFrame, group: str, digest: str, ties: list[str], n_rows:
 
 
 def numbered_in_buckets(rows: DataFrame, group: str, bucket: F.Column, order: list[str], out: str) -> DataFrame:
-    """Add ``out``: 0, 1, 2 ... within each ``group`` by ``bucket`` and then ``order``.
+    """Add ``out``: 0, 1, 2 ... within each ``group``, a whole number from 0 on or null, by ``bucket`` and then ``order``.
 
     Each bucket is numbered by itself and moved by the counts of the buckets before it. The counts
     are one row for each bucket. They are joined by the keys that the window is dealt by, so that the
-    rows, which may hold whole texts, are shuffled once; ``group`` and ``bucket`` are therefore never null.
+    rows, which may hold whole texts, are shuffled once. Keys that cannot be null spare the join a
+    filter that works them out once more; ``bucket`` should be such a column.
     """
-    cut = rows.withColumn("_bucket", bucket)
-    sizes = rows.select(F.col(group).alias("_group"), bucket.alias("_bucket")).groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    key = F.coalesce(F.col(group).cast("long"), F.lit(-1).cast("long"))
+    cut = rows.withColumn("_bucket", bucket).withColumn("_key", key)
+    sizes = rows.select(key.alias("_group"), bucket.alias("_bucket")).groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy("_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     starts = sizes.select(F.col("_group"), F.col("_bucket").alias("_at"), F.coalesce(before, F.lit(0)).alias("_start"))
-    own = F.row_number().over(W.partitionBy(group, "_bucket").orderBy(*order)) - 1
+    own = F.row_number().over(W.partitionBy("_key", "_bucket").orderBy(*order)) - 1
     placed = cut.withColumn("_own", own)
-    return placed.join(starts, (F.col(group) == F.col("_group")) & (F.col("_bucket") == F.col("_at"))).withColumn(out, F.col("_start") + F.col("_own")).drop("_bucket", "_own", "_group", "_at", "_start")
+    return placed.join(starts, (F.col("_key") == F.col("_group")) & (F.col("_bucket") == F.col("_at"))).withColumn(out, F.col("_start") + F.col("_own")).drop("_bucket", "_key", "_own", "_group", "_at", "_start")

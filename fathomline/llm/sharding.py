@@ -77,7 +77,7 @@ def sharded(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str
     if position_col is None:
         out = numbered(rows, "shard", "_digest", ["size", "text_crc32"], -(-3 * docs.count() // shards), "slot")
     else:
-        out = numbered_in_buckets(rows, "shard", F.floor(F.col("_position") / (BUCKET_ROWS * shards)), ["_position"], "slot")
+        out = numbered_in_buckets(rows, "shard", F.coalesce(F.floor(F.col("_position") / (BUCKET_ROWS * shards)), F.lit(0)), ["_position"], "slot")
     return out.withColumn("law", F.lit("key")).withColumn("slot", F.col("slot").cast("long")).select(*[F.col(k).alias(c) for k, c in own.items()], *added)
 
 
