@@ -60,8 +60,13 @@ def mapped(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return rows.select("qid", "uids", F.explode(checked).alias("r")).select("qid", F.get("uids", F.col("r.index").cast("int")).alias("uid"), F.col("r.relevance_score").alias("score"))
 
 
+def routed_score(score: Column, affinity: Column) -> Column:
+    """A facet's score from the intent's score and the unit's affinity to the facet."""
+    return score * (0.35 + 0.65 * affinity)
+
+
 def routed(scores: DataFrame, dense: DataFrame) -> DataFrame:
     """Facet scores from the intent's score (qid, uid, score) and dense (qid, col, uid, d): score * (0.35 + 0.65 * affinity)."""
     best = F.max("d").over(W.partitionBy("qid", "col"))
     near = dense.withColumn("affinity", T.affinity(F.col("d"), best))
-    return near.join(scores, ["qid", "uid"]).select("qid", "col", "uid", (F.col("score") * (0.35 + 0.65 * F.col("affinity"))).alias("score"))
+    return near.join(scores, ["qid", "uid"]).select("qid", "col", "uid", routed_score(F.col("score"), F.col("affinity")).alias("score"))
