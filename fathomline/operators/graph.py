@@ -16,10 +16,25 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct().groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("sources"))
 
 
+#: pairs that one task groups at once
+PAIRS = 1 << 19
+
+
 def undirected(edges: DataFrame) -> DataFrame:
-    """(src, dst, weight): both directions with the largest confidence."""
+    """(src, dst, weight): both directions with the largest confidence.
+
+    A pair is grouped once for both directions, and dealt out by the number of edges, so what a task holds does not grow with them.
+    """
+    pair = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "confidence")
+    best = pair.repartition(max(1, -(-edges.count() // PAIRS)), "a", "b").groupBy("a", "b").agg(F.max("confidence").alias("weight"))
+    return best.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))))
+
+
+def around(edges: DataFrame, units: DataFrame) -> DataFrame:
+    """(src, dst, weight): what ``undirected`` has for the stated units (uid) as ``src``; other edges are left before anything is grouped."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "confidence")
-    return edges.select("src", "dst", "confidence").unionByName(back).where("src <> dst").groupBy("src", "dst").agg(F.max("confidence").alias("weight"))
+    both = edges.select("src", "dst", "confidence").unionByName(back).where("src <> dst")
+    return both.join(units.select(F.col("uid").alias("src")), "src", "left_semi").groupBy("src", "dst").agg(F.max("confidence").alias("weight"))
 
 
 def one_hop(seeds: DataFrame, links: DataFrame, fused: DataFrame, keep: int = 10) -> DataFrame:
@@ -47,13 +62,17 @@ def hub_guard(seeds: DataFrame, edges: DataFrame, cap: int = 80) -> DataFrame:
     return found.orderBy(F.desc("support"), "uid").limit(cap)
 
 
-def two_hop(anchors: DataFrame, links: DataFrame, floor: float = 0.05, keep: int = 16, hops: int = 2) -> DataFrame:
-    """(uid, score): best score over paths of up to two weighted links; weak frontiers stop."""
+def two_hop(anchors: DataFrame, edges: DataFrame, floor: float = 0.05, keep: int = 16, hops: int = 2) -> DataFrame:
+    """(uid, score): best score over paths of up to two links of ``undirected`` edges; weak frontiers stop.
+
+    Only the links around a frontier are made and ranked.
+    """
     frontier = anchors.select("uid", "score")
     reached = frontier
-    best = links.withColumn("k", F.row_number().over(W.partitionBy("src").orderBy(F.desc("weight"), "dst"))).where(F.col("k") <= keep)
     for _ in range(hops):
-        step = frontier.where(F.col("score") > floor).select(F.col("uid").alias("src"), F.col("score").alias("had")).join(best, "src")
+        ahead = frontier.where(F.col("score") > floor)
+        best = around(edges, ahead).withColumn("k", F.row_number().over(W.partitionBy("src").orderBy(F.desc("weight"), "dst"))).where(F.col("k") <= keep)
+        step = ahead.select(F.col("uid").alias("src"), F.col("score").alias("had")).join(best, "src")
         frontier = step.groupBy(F.col("dst").alias("uid")).agg(F.round(F.max(F.col("had") * F.col("weight")), 9).alias("score"))
         reached = reached.unionByName(frontier)
     return reached.groupBy("uid").agg(F.max("score").alias("score"))

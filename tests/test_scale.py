@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import text as T
 from fathomline.functions.words import words
-from fathomline.operators import recall
+from fathomline.operators import graph, recall
 
 
 def shuffled(df):
@@ -95,3 +95,42 @@ def test_text_vectors_are_the_hashed_vectors(spark):
     want = {r["uid"]: r["vec"] for r in recall.hashed_vectors(recall.postings(units, F.col("text"))).collect()}
     found = recall.text_vectors(units, F.col("text"))
     assert {r["uid"]: r["vec"] for r in found.collect()} == want and shuffled(found) <= 120
+
+
+def _edges(spark, n=4000):
+    rng = random.Random(11)
+    return [(rng.randrange(60), rng.randrange(60), rng.randrange(1, 8) / 10) for _ in range(n)]
+
+
+def test_links_are_grouped_once_in_tasks_that_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PAIRS", 500)
+    rows = _edges(spark) + [(None, 1, 0.5), (1, None, 0.5)]
+    best = defaultdict(float)
+    for a, b, c in rows:
+        if None not in (a, b) and a != b:
+            best[a, b], best[b, a] = max(best[a, b], c), max(best[b, a], c)
+    links = graph.undirected(spark.createDataFrame(rows, "src long, dst long, confidence double"))
+    assert {(r["src"], r["dst"]): r["weight"] for r in links.collect()} == best and links.count() == len(best)
+    # one exchange of the edges, dealt to a task for each 500
+    assert shuffled(links) <= len(rows) and links.rdd.getNumPartitions() == 9
+
+
+def test_steps_around_few_units_group_their_links_only(spark):
+    rows = _edges(spark)
+    edges = spark.createDataFrame(rows, "src long, dst long, confidence double")
+    core = spark.createDataFrame([(3, 0.9), (8, 0.5)], "uid long, score double")
+    near = graph.around(edges, F.broadcast(core))
+    whole = {(r["src"], r["dst"]): r["weight"] for r in graph.undirected(edges).collect()}
+    assert {(r["src"], r["dst"]): r["weight"] for r in near.collect()} == {k: v for k, v in whole.items() if k[0] in (3, 8)}
+    assert shuffled(near) <= 2 * 2 * 60 * 4
+    want = {3: 0.9, 8: 0.5}
+    frontier = dict(want)
+    for _ in range(2):
+        found = defaultdict(float)
+        for u, had in frontier.items():
+            for w, v in sorted((-w, b) for (a, b), w in whole.items() if a == u)[:16]:
+                found[v] = max(found[v], round(had * -w, 9))
+        frontier = {u: x for u, x in found.items() if x > 0.05}
+        for u, x in found.items():
+            want[u] = max(want.get(u, 0), x)
+    assert {r["uid"]: r["score"] for r in graph.two_hop(core, edges).collect()} == want
