@@ -13,6 +13,8 @@ uid; relations to units that the index does not have are passed over; other colu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,26 +44,20 @@ def prompts(queries: DataFrame) -> DataFrame:
 def recalled(index: Index, asked: DataFrame, embed: Embedder | None = None) -> DataFrame:
     """(qid, uid): the best of each prompt by terms and by vectors, and of the languages that the request names."""
     said = asked.select(F.col("pid").alias("qid"), "query")
-    lexical = cut(recall.bm25(index.postings, index.lengths, said))
     if embed is None:
         vectors = query_vectors(said)
     else:
         vectors = embed(asked.select(F.col("pid").alias("uid"), F.concat(F.lit(T.INSTRUCTION), "query").alias("text"))).select(F.col("uid").alias("qid"), "vec")
     vectors = cut(vectors)
-    lanes = [recall.top(lexical, LANE), recall.dense_top(index.vectors, vectors, LANE)]
     named = cut(asked.select(F.col("pid").alias("qid"), F.explode(T.requested_languages(F.col("intent"))).alias("language")))
     homes = index.units.select("uid", "language")
-    lanes.append(recall.top(lexical.join(homes, "uid").join(named, ["qid", "language"]), SCOPED_LANE))
+    languages = sorted(one for (one,) in named.select("language").distinct().collect())
+    lexical, *scoped = recall.lexical_tops(recall.Counts(index.postings, index.lengths), said, [(LANE, None), *((SCOPED_LANE, homes.where(F.col("language") == one)) for one in languages)])
+    lanes = [lexical, recall.dense_top(index.vectors, vectors, LANE)]
     # as many rounds as languages are named, at most those that requests can name
-    near = [
-        recall.dense_top(index.vectors.join(homes.where(F.col("language") == one), "uid", "left_semi"), vectors.join(named.where(F.col("language") == one), "qid", "left_semi"), SCOPED_LANE).drop("rank")
-        for (one,) in sorted(named.select("language").distinct().collect())
-    ]
-    if near:
-        scores = near[0]
-        for more in near[1:]:
-            scores = scores.unionByName(more)
-        lanes.append(recall.top(scores, SCOPED_LANE))
+    near = [recall.dense_top(index.vectors.join(homes.where(F.col("language") == one), "uid", "left_semi"), vectors.join(named.where(F.col("language") == one), "qid", "left_semi"), SCOPED_LANE).drop("rank") for one in languages]
+    scoped = [lane.join(named.where(F.col("language") == one), "qid", "left_semi").drop("rank") for one, lane in zip(languages, scoped, strict=True)]
+    lanes += [recall.top(reduce(DataFrame.unionByName, each), SCOPED_LANE) for each in (scoped, near) if each]
     found = None
     for lane in lanes:
         part = lane.select(F.shiftright("qid", _BITS).alias("qid"), "uid")

@@ -3,7 +3,7 @@
     index = build(units, "hdfs:///indexes/code")      # or open_index(spark, root)
     found = search(index, queries, budget=8000)       # (qid, query) in, ranked units out
 
-Texts are tokenised once: lengths and hashed vectors are taken from the written postings. A build
+Terms are counted where the texts stand; lengths are taken from the written postings. A build
 whose identity is already published is a restore. With a previous index, units whose features did
 not change keep their postings.
 """
@@ -67,16 +67,16 @@ def build(units: DataFrame, root: str, body: Column | None = None, embed: Embedd
     version = store.begin(spark, root)
     ready = store.put(rows.select(*COLUMNS, T.token_cost(F.col("text")).cast("long").alias("cost"), F.sha2(F.coalesce(body, F.lit("")), 256).alias("feature")), f"{root}/{version}/units")
     if previous is None:
-        counted = recall.postings(rows, body)
+        counted = recall.text_postings(rows, body)
     else:
         old = previous.units.groupBy("feature").agg(F.min("uid").alias("old"))
         known = ready.join(old, "feature").select("uid", "old")
         kept = previous.postings.withColumnRenamed("uid", "old").join(known, "old").select("uid", "term", "tf")
-        counted = kept.unionByName(recall.postings(rows.join(known, "uid", "left_anti"), body))
+        counted = kept.unionByName(recall.text_postings(rows.join(known, "uid", "left_anti"), body))
     postings = store.put(counted, f"{root}/{version}/postings")
     sizes = ready.select("uid").join(postings.groupBy("uid").agg(F.sum("tf").alias("len")), "uid", "left").select("uid", F.coalesce("len", F.lit(0)).cast("long").alias("len"))
     lengths = store.put(sizes, f"{root}/{version}/lengths")
-    found = recall.hashed_vectors(postings) if embed is None else embed(ready.select("uid", "text"))
+    found = recall.text_vectors(rows, body) if embed is None else embed(ready.select("uid", "text"))
     vectors = store.put(found, f"{root}/{version}/vectors")
     n_vectors, dims, finite = _vector_facts(vectors)
     if not finite:
@@ -125,7 +125,7 @@ def search(index: Index, queries: DataFrame, budget: int = MAX_BUDGET, vectors:
     if not MIN_BUDGET <= budget <= MAX_BUDGET:
         raise ValueError(f"budget must be from {MIN_BUDGET} to {MAX_BUDGET}")
     asked = queries.select("qid", F.when(F.length("query") <= MAX_QUERY, F.col("query")).otherwise(F.raise_error(F.lit("a query is too long")).cast("string")).alias("query"))
-    lexical = recall.top(recall.bm25(index.postings, index.lengths, asked), DEPTH)
+    (lexical,) = recall.lexical_tops(recall.Counts(index.postings, index.lengths), asked, [(DEPTH, None)])
     dense = recall.dense_top(index.vectors, query_vectors(asked) if vectors is None else vectors, DEPTH)
     pool = recall.rrf(lexical, dense, pool=POOL).select("qid", "uid")
     shown = T.document(F.col("path"), F.col("symbol"), F.col("text"), 5000) if document is None else document

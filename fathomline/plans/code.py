@@ -24,7 +24,7 @@ def _folder(t: Tables, name: str) -> str:
 def _files(t: Tables, ending: str, language: str, text) -> DataFrame:
     """A file for each supplier; it uses the next one of its nation, which makes its folder."""
     after = F.lead("s_suppkey").over(W.partitionBy("s_nationkey").orderBy("s_suppkey"))
-    rows = t.supplier.select("s_suppkey", "s_nationkey", after.alias("next"))
+    rows = shared.spread(t.supplier.select("s_suppkey", "s_nationkey", after.alias("next")), t.supplier.count(), "s_suppkey")
     path = F.concat(F.lit("n"), "s_nationkey", F.lit("/s"), "s_suppkey", F.lit(ending))
     return rows.select(path.alias("path"), text.alias("text"), F.lit(language).alias("language"))
 
@@ -65,7 +65,7 @@ def _(t):
     use = F.when(F.col("next").isNotNull(), F.concat(F.lit("from .s"), F.col("next").cast("string"), F.lit(" import run as go"))).otherwise("go = len")
     text = _lines(use, "class Base:", "    x = 1", "class Box(Base):", "    def put(self, item):", "        return self.get(item)", "    def get(self, go):", "        # :func:`run`", "        return go(1)", "def run(x):", "    return go(x)")
     files = _files(t, ".py", "python", text)
-    made = shared.cut(units.with_ids(units.extract(files)))
+    made = shared.cut(units.with_ids(shared.cut(units.extract(files))))
     found = shared.cut(relations.relations(files, made))
     rows = made.join(files.select("path", "language"), "path").select(*index.COLUMNS)
     built = index.build(rows, f"{shared.checkpoint_dir(t.spark)}/index-{index.identity_of(rows)}")

@@ -30,6 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: files that one task reads with Python
+READ = 1 << 10
+
+
+def spread(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The ``n`` rows dealt out for Python to work on; by their bytes alone, small rows would meet in one task."""
+    return df.repartition(max(1, -(-n // READ)), *keys)
+
+
 class Files:
     """Small driver-side files below a root on the file system that its URI names."""
 

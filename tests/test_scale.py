@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from fathomline.functions import text as T
 from fathomline.functions.words import words
 from fathomline.operators import graph, recall
+from fathomline.plans import code
+from fathomline.sources import shared
 
 
 def shuffled(df):
@@ -134,3 +137,29 @@ def test_steps_around_few_units_group_their_links_only(spark):
         for u, x in found.items():
             want[u] = max(want.get(u, 0), x)
     assert {r["uid"]: r["score"] for r in graph.two_hop(core, edges).collect()} == want
+
+
+def test_postings_are_counted_where_texts_stand(spark):
+    units, _ = _corpus(spark, 200)
+    found = recall.text_postings(units, F.col("text"))
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in recall.postings(units, F.col("text")).collect()}
+    assert shuffled(found) <= 200
+
+
+def test_search_meets_a_common_term_by_units_not_by_pairs(spark):
+    units = spark.createDataFrame([(k, f"same word u{k}") for k in range(300)], "uid long, text string").coalesce(2)
+    queries = spark.createDataFrame([(k, f"the same u{k}") for k in range(40)], "qid long, query string")
+    postings, lengths = recall.postings(units, F.col("text")), recall.lengths(units, F.col("text"))
+    rows = postings.count()
+    (found,) = recall.lexical_tops(recall.Counts(postings, lengths), queries, [(3, None)])
+    assert [(r["qid"], r["uid"]) for r in found.where("rank = 0").orderBy("qid").collect()] == [(k, k) for k in range(40)]
+    found.collect()
+    # the postings are made and met by unit, then 3 of each query and task; the pairs that share the term are 12,000
+    assert shuffled(found) <= 2 * rows + 300 + 4 * 40 * 3
+
+
+def test_files_of_a_nation_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(shared, "READ", 10)
+    supplier = spark.createDataFrame([(k, 1) for k in range(95)], "s_suppkey long, s_nationkey int")
+    files = code._files(SimpleNamespace(supplier=supplier), ".py", "python", F.lit("x = 1"))
+    assert files.rdd.getNumPartitions() == 10 and files.select("path").distinct().count() == 95
